@@ -63,7 +63,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("exclamations", "n_exclamations", "n_words", high=30),
     Rule("stop_words", "n_stop_words", "n_words", low=4),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
 )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_rules, token_counts
+from . import decontamination, language_id, packing, quality_pu, quality_rules, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(*OP3_COLUMNS)
 
 
+def op4_language_id(spark, sf_dir):
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
+def op5_quality_pu(spark, sf_dir):
+    found = quality_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), "predicted")
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,6 +49,8 @@ def op8_decontamination(spark, sf_dir):
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_quality_pu": op5_quality_pu,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
 }
