@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality_pu, quality_rules, token_counts
+from . import decontamination, language_id, language_model, packing, quality_pu, quality_rules, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +51,7 @@ def op8_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
