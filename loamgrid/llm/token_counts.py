@@ -17,54 +17,68 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, session, worker_cache
+from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_cache
 
-#: Distinct pre-tokens whose counts a worker keeps; beyond it the table starts anew (results don't change).
-MEMO_ENTRIES = 600_000
-#: Characters of text whose pre-token tables are held at once.
-SLICE_CHARS = 1 << 20
+#: Distinct runs and pre-tokens whose counts a worker keeps; beyond it the table starts anew (results don't change).
+MEMO_ENTRIES = 700_000
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def pieces_of(units: list[str], path: str) -> list[int]:
-    """Number of tokens of each string by itself."""
-    tok = load_tokenizer(path)
-    return [len(e) for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+class PieceCounts(dict):
+    """Number of tokens of a run; each distinct pre-token is counted once and shared by all runs that hold it.
 
+    Plain pre-tokens go to the model directly; a run that needs the splitter, or
+    may hold a special string, goes through the whole tokenizer.
+    """
 
-def _counts(batches, path: str, limit: int):
-    cut = re.compile(r"(?= \S)").split
-    memo = worker_cache().setdefault(("pieces", path), {})
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.model, self.pieces = self.tokenizer.model, {}
+        self.letters = byte_alphabet()
+
+    def count(self, pretoken: str) -> int:
+        n = self.pieces.get(pretoken)
+        if n is None:
+            n = self.pieces[pretoken] = len(self.model.tokenize("".join(map(self.letters.__getitem__, pretoken.encode()))))
+        return n
+
+    def __missing__(self, run: str) -> int:
+        m = PLAIN.fullmatch(run)
+        if m:
+            n = self.count(m[1]) + (self.count(m[2]) if m[2] else 0)
+        else:
+            n = len(self.tokenizer.encode(run, add_special_tokens=False))
+        self[run] = n
+        return n
 
-    def flush(freqs: list[Counter]) -> list[int]:
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        known = memo.keys()
-        new = list(dict.fromkeys(u for f in freqs for u in f.keys() - known))
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], pieces_of(new[i : i + 20_000], path)))
-        return [sum(memo[u] * n for u, n in f.items()) for f in freqs]
+    def trim(self, entries: int) -> None:
+        """Start anew where the tables have grown beyond so many entries."""
+        if len(self) + len(self.pieces) > entries:
+            self.clear()
+            self.pieces.clear()
 
+
+def _counts(batches, path: str, limit: int):
+    cut = re.compile(r"(?= \S)").split
+    cache = worker_cache()
+    if ("pieces", path) not in cache:
+        cache["pieces", path] = PieceCounts(path)
+    memo = cache["pieces", path]
     for batch in batches:
-        texts = batch.column(1)
-        counts, freqs, held = [], [], 0
-        for t in texts:
-            t = t.as_py() or ""
-            freqs.append(Counter(cut(t)) if t else Counter())
-            held += len(t)
-            if held > SLICE_CHARS:
-                counts += flush(freqs)
-                freqs, held = [], 0
-        counts += flush(freqs)
-        n_tokens = pa.array(counts, pa.int64())
+        counts = []
+        for t in batch.column(1):
+            frequency = Counter(cut(t.as_py()))
+            counts.append(sum(map(mul, map(memo.__getitem__, frequency), frequency.values())))
+        memo.trim(MEMO_ENTRIES)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), n_tokens, pa.array([c > limit for c in counts], pa.bool_())],
+            [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )
 
