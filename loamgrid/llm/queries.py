@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, packing, quality_pu, quality_rules, token_counts
+from . import decontamination, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality_pu(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), "predicted")
 
 
+def op6_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_quality_pu": op5_quality_pu,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
 }
