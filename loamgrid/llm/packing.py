@@ -21,17 +21,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, session, worker_cache
+from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_cache
 
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew (results don't change).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 700_000
 #: A window whose padding is above this share of it is emptied and packed again by cutting.
 MAX_PADDING = 1 / 64
 
@@ -130,16 +130,51 @@ def lay_out(lengths: list[int], window: int, max_padding: float = MAX_PADDING) -
     return sequences
 
 
-def encode_words(words: list[str], path: str) -> list[bytes]:
-    """Ids of each word by itself, as little-endian 32-bit words."""
-    tok = load_tokenizer(path)
-    return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+class WordIds(dict):
+    """Ids of a run without blanks, as little-endian 32-bit words; looked up once per distinct run.
+
+    A plain word goes to the model directly, in pieces shared by all runs that
+    hold it; any other run goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.model, self.pieces = self.tokenizer.model, {}
+        self.letters = byte_alphabet()
+
+    def piece(self, x: str) -> bytes:
+        ids = self.pieces.get(x)
+        if ids is None:
+            spelt = x if x.isascii() else "".join(map(self.letters.__getitem__, x.encode()))
+            ids = self.pieces[x] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+    def __missing__(self, run: str) -> bytes:
+        m = PLAIN.fullmatch(run)
+        if m:
+            word, marks = m.groups()
+            ids = self.piece(word.lower())
+            if marks:
+                ids += self.piece(marks)
+        elif run:
+            ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = b""
+        self[run] = ids
+        return ids
+
+    def trim(self, entries: int) -> None:
+        """Start anew where the tables have grown beyond so many entries."""
+        if len(self) + len(self.pieces) > entries:
+            self.clear()
+            self.pieces.clear()
 
 
 def _pack(batches, path: str, window: int, end_id: int, block_tokens: int):
-    memo = worker_cache().setdefault(("ids", path), {})
+    cache = worker_cache()
+    memo = cache.get(("ids", path)) or cache.setdefault(("ids", path), WordIds(path))
     blank = re.compile(r"[\t\r\n]")
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
     base, n_sequences = TaskContext.get().partitionId() << 40, 0
     doc_ids: list = []
     ids: list[bytes] = []
@@ -163,35 +198,16 @@ def _pack(batches, path: str, window: int, end_id: int, block_tokens: int):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    def encode(texts: list[list[str]]):
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        new = list(set().union(*texts) - memo.keys())
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], encode_words(new[i : i + 20_000], path)))
-        get = memo.__getitem__
-        return [b"".join(map(get, t)) + end for t in texts]
-
-    def consume(keys, texts):
-        nonlocal held
-        for key, x in zip(keys, encode(texts)):
+    for batch in batches:
+        for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            runs = blank.sub(" ", t.as_py()).split(" ")
+            x = b"".join(map(memo.__getitem__, runs)) + end
             doc_ids.append(key)
             ids.append(x)
             held += len(x) // 4
             if held >= block_tokens:
                 yield flush()
-
-    for batch in batches:
-        keys, texts, chars = [], [], 0
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            t = t.as_py()
-            keys.append(key)
-            texts.append(blank.sub(" ", t).split(" ") if t else [])
-            chars += len(t)
-            if chars > 2 << 20:
-                yield from consume(keys, texts)
-                keys, texts, chars = [], [], 0
-        yield from consume(keys, texts)
+        memo.trim(MEMO_ENTRIES)
     if ids:
         yield flush()
 
