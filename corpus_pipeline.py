@@ -1,11 +1,60 @@
-"""The corpus pipeline (its stages follow as their operators are built)."""
+"""The corpus pipeline: quality, language, near-duplicates, contamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
+the columns of its input; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamgrid.llm import decontamination, language_id, minhash_dedup, packing, quality_pu
+from loamgrid.llm.common import materialise, without
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier predicts as good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_pu.classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near a centroid of a learned language."""
+    return language_id.identify(docs, keep=tuple(docs.columns)).where(~F.col("rejected")).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of five words."""
+    return without(docs, minhash_dedup.near_duplicates(docs).where(~F.col("kept")))
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontamination.decontaminate(docs, items).where("n_hit > 0"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", clean_of_benchmark),
+    ("packing", packed),
+]
+
+#: The learned stages have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

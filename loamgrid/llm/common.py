@@ -68,6 +68,18 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not listed; the list is broadcast where it is short, else joined."""
+    ids = materialise(ids.select(F.col(col).alias("__gone")).where("__gone is not null").distinct(), "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col(col) == F.col("__gone"), "left_anti")
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """``crc32(doc_id as text) mod n``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts
+from . import decontamination, html_extract, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,15 @@ def op8_decontamination(spark, sf_dir):
     )
 
 
+def op9_html_extract(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_index(spark, sf_dir):
+    merged = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_packing": op2_packing,
@@ -63,9 +72,13 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extract": op9_html_extract,
+    "op10_warc_index": op10_warc_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(OP3_COLUMNS),
+    "op6_minhash_dedup": minhash_dedup.oracle(4, 80),
     "op8_decontamination": decontamination.oracle(),
+    "op10_warc_index": warc.oracle(),
 }
