@@ -1,6 +1,4 @@
-"""Bindings of the operators to the driver's tables, with SQL for each."""
+"""All registered queries: importing the binding modules fills the registry."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import bind_counts, bind_relations, bind_stats  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
