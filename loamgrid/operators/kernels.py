@@ -60,6 +60,15 @@ class Generator:
     def times_transposed(self, h: np.ndarray) -> np.ndarray:
         return np.bincount(self.j, self.rate * h[self.i], len(self.cells)) - self.out * h
 
+    def reaching(self, goal: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Free cells from which the goal can be reached."""
+        seen, grew = goal.copy(), True
+        while grew:
+            step = free[self.i] & seen[self.j] & ~seen[self.i]
+            grew = bool(step.any())
+            seen[self.i[step]] = True
+        return seen & free
+
     def solve(self, rhs: np.ndarray, free: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
         """x with (G - D) x = rhs on the free cells and 0 elsewhere."""
         x = np.zeros(len(self.cells))
@@ -102,7 +111,7 @@ def _generator(edges: DataFrame) -> Generator:
 
 
 def hitting_times(edges: DataFrame, targets: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """``target, cell, ht``: mean time to each target set; null in blocked cells and for a target without cells.
+    """``target, cell, ht``: mean time to each target set; null in blocked cells and where the set can't be reached.
 
     ``edges``: i, j, rate of one model; ``targets``: target, cell. One group per
     target, the model's arrays broadcast.
@@ -115,9 +124,9 @@ def hitting_times(edges: DataFrame, targets: DataFrame, blocked: DataFrame | Non
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         g, stop = shared.value
         inside = np.isin(g.cells, rows["cell"].to_numpy())
-        free = ~inside & ~np.isin(g.cells, stop)
-        h = g.solve(np.full(len(g.cells), -1.0), free) if inside.any() else np.full(len(g.cells), np.nan)
-        h = np.where(np.isin(g.cells, stop), np.nan, h)
+        inside &= ~np.isin(g.cells, stop)
+        free = g.reaching(inside, ~inside & ~np.isin(g.cells, stop))
+        h = np.where(free | inside, g.solve(np.full(len(g.cells), -1.0), free), np.nan)
         return pd.DataFrame({"target": rows["target"].iloc[0], "cell": g.cells, "ht": h})
 
     out = targets.groupBy("target").applyInPandas(solve, "target long, cell long, ht double")

@@ -21,7 +21,7 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str], *, co
     order = Window.partitionBy(*by).orderBy("x", "w")
     run = rows.select(*by, "x", "w", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cw"), F.lead("x").over(order).alias("x2"), F.lead("w").over(order).alias("w2"), F.sum("w").over(Window.partitionBy(*by)).alias("total"))
     past = run.where(F.col("cw") > F.col("total") / 2)
-    first = past.groupBy(*by).agg(F.min(F.struct("cw", "x", "x2", "w2", "total")).alias("k")).select(*by, "k.*")
+    first = past.groupBy(*by).agg(F.min(F.struct("cw", "x", "x2", "w2", "total")).alias("__first")).select(*by, "__first.*")
     if conventional:
         return first.select(*by, F.col("x").alias("wmedian"))
     a = (F.col("total") / 2 - F.col("cw")) / F.col("w2")
