@@ -102,8 +102,8 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_network(p: np.ndarray, u: np.ndarray, prior: float, *, hidden: int = 16, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network:
-    """Adam on mini-batches of the non-negative unbiased risk."""
+def train_network(p: np.ndarray, u: np.ndarray, prior: float, *, hidden: int = 16, epochs: int = 100, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> Network:
+    """Adam on mini-batches of the non-negative unbiased risk, with a step size that falls linearly."""
     rng = np.random.default_rng(seed)
     mean, std = u.mean(0), u.std(0)
     scale = np.where(std > 1e-6, 1 / np.maximum(std, 1e-6), 0).astype(np.float32)
@@ -133,7 +133,7 @@ def train_network(p: np.ndarray, u: np.ndarray, prior: float, *, hidden: int = 1
             for i, gr in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * gr
                 v[i] = 0.999 * v[i] + 0.001 * gr * gr
-                par[i] = par[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                par[i] = par[i] - rate * (1.02 - t / (epochs * steps)) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     return Network(mean, scale, *par)
 
 
