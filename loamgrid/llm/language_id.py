@@ -131,13 +131,14 @@ def fit(train: DataFrame, *, dim: int = DIM, clusters: int = CLUSTERS, sample_pe
         if r["place"] >= 0:
             df[r["place"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = train.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).toArrow()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = F.broadcast(train.sparkSession.createDataFrame(sizes))
     million = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1_000_000))
     sample = train.join(sizes, "lang").where(million < F.lit(1e6 * sample_per_language) / F.col("size")).select("lang", "text")
     fitted = sample.groupBy("lang").applyInPandas(lambda rows: _fit_language(rows, idf, clusters), "lang string, centroid binary, least array<double>")
-    rows = fitted.limit(MAX_LANGUAGES * clusters + 1).collect()
-    if len(rows) > MAX_LANGUAGES * clusters:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = fitted.collect()
     langs = sorted({r["lang"] for r in rows})
     rows.sort(key=lambda r: (r["lang"], r["centroid"]))
     owner = np.array([langs.index(r["lang"]) for r in rows], int)
@@ -161,10 +162,10 @@ def classify(text: str | None, m: Model, margin: float) -> tuple[str, float, boo
 
 
 def predict(docs: DataFrame, model: Model, *, margin: float = MARGIN, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` (and the columns ``keep``) of every row."""
+    """``doc_id, lang_pred, score, rejected`` of every row; the columns ``keep`` in a struct ``kept_row``."""
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # MAX_LANGUAGES * CLUSTERS centroids of DIM numbers at most
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("kept_row")] if keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", lang_pred string, lang_score double, rejected boolean"
 
     def run(batches):
