@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import re
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise, new_path, shared_dir  # noqa: F401
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+`` (fixed values).
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -27,47 +26,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (local tests) a temporary folder is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_loamgrid_dir", None)
-        if not path:
-            path = spark._loamgrid_dir = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
-    return path.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended already
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the program ends."""
-    path = f"{shared_dir(spark)}/loamgrid-{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 

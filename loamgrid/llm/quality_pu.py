@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, session, worker_cache
+from .common import fold, materialise, session, worker_cache
 
 #: Bounds of the training samples (rows, in expectation).
 POSITIVES = 6000
@@ -147,17 +147,17 @@ def fit(train: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unla
     """``train``: doc_id, text of the training rows; ``labels``: doc_id, quality. The network and the class prior."""
     session(train.sparkSession)
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    joined = train.join(known, F.col("doc_id") == F.col("id"), "left")
-    # both samples by hash of the row: counts of all rows set the rates
-    counts = joined.agg(F.count("*").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("p"), F.count("quality").alias("k")).first()
+    # labels meet ids alone; the texts of the samples follow by a broadcast of the sampled ids
+    ids = materialise(train.select("doc_id").join(known, F.col("doc_id") == F.col("id"), "left").select("doc_id", "quality"), "labelled")
+    counts = ids.agg(F.count("*").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("p"), F.count("quality").alias("k")).first()
     if not counts["p"]:
         return None, 0.5
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1_000_000)) / 1e6
-    other = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(13)), F.lit(1_000_000)) / 1e6
-    as_p = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (share < positives / counts["p"])
-    as_u = other < unlabelled / counts["n"]
-    part = F.when(as_p, 1).otherwise(0) + F.when(as_u, 2).otherwise(0)
-    rows = joined.select("text", F.lit(0).alias("good"), part.alias("part")).where("part > 0").mapInArrow(_sampled_features, "good int, part int, x binary").collect()
+    share = lambda seed: F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    as_p = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (share(11) < positives / counts["p"])
+    part = F.when(as_p, 1).otherwise(0) + F.when(share(13) < unlabelled / counts["n"], 2).otherwise(0)
+    sample = F.broadcast(ids.select(F.col("doc_id").alias("id"), part.alias("part")).where("part > 0").distinct())
+    chosen = train.join(sample, F.col("doc_id") == F.col("id")).select("text", F.lit(0).alias("good"), "part")
+    rows = chosen.mapInArrow(_sampled_features, "good int, part int, x binary").collect()
     x = np.vstack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
     parts = np.array([r["part"] for r in rows], int)
     p, u = x[(parts & 1) > 0], x[(parts & 2) > 0]
@@ -175,10 +175,10 @@ def fit(train: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unla
 
 
 def predict(docs: DataFrame, network: Network | None, prior: float, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, quality_score, predicted`` (and the columns ``keep``) of every row."""
+    """``doc_id, quality_score, predicted`` of every row; the columns ``keep`` in a struct ``kept_row``."""
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(network)  # DIM * 16 numbers
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("kept_row")] if keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", quality_score double, predicted int"
 
     def run(batches):
