@@ -17,12 +17,12 @@ from loamgrid.llm.common import materialise, without
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier predicts as good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_pu.classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+    return quality_pu.classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select("kept_row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near a centroid of a learned language."""
-    return language_id.identify(docs, keep=tuple(docs.columns)).where(~F.col("rejected")).select(docs.columns)
+    return language_id.identify(docs, keep=tuple(docs.columns)).where(~F.col("rejected")).select("kept_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
