@@ -24,7 +24,7 @@ def generator(cells: DataFrame, layers, *, beta: float, gamma, delta) -> DataFra
     side = lambda end: cells.select(F.col("cell").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in layers])
     e = rook_edges(cells).join(side("i"), "i").join(side("j"), "j")
     source = logistic(value([f"{x}_i" for x in layers], gamma))
-    edge = logistic(value([F.col(f"{x}_i") + F.col(f"{x}_j") for x in layers], delta))
+    edge = logistic(value([F.col(f"{x}_i") + F.col(f"{x}_j") for x in layers], (2 * delta[0], *delta[1:])))  # the constant layer counts at both ends
     first = layers[0]
     return e.select("i", "j", (F.exp(F.lit(float(beta))) * source * edge).alias("rate"), (F.col(f"{first}_i") * (1 - source)).alias("gi"), ((F.col(f"{first}_i") + F.col(f"{first}_j")) * (1 - edge)).alias("dij"))
 

@@ -17,7 +17,7 @@ GAMMA, DELTA, BETA = (0.2, 0.5, -0.3), (0.1, 0.4, 0.2), 0.3
 
 Z = GRID + ", b AS (SELECT cell, row, col, (l1 - 150000) / 50000.0::DOUBLE AS a, (l2 - 25) / 15.0::DOUBLE AS b FROM g WHERE l1 IS NOT NULL)"
 RHO = "1 / (1 + exp(-({})))"
-EDGES = Z + f""", e AS (SELECT i.cell AS i, j.cell AS j, exp(0.3::DOUBLE) * {RHO.format("0.2::DOUBLE + 0.5::DOUBLE * i.a + -0.3::DOUBLE * i.b")} * {RHO.format("0.1::DOUBLE + 0.4::DOUBLE * (i.a + j.a) + 0.2::DOUBLE * (i.b + j.b)")} AS rate
+EDGES = Z + f""", e AS (SELECT i.cell AS i, j.cell AS j, exp(0.3::DOUBLE) * {RHO.format("0.2::DOUBLE + 0.5::DOUBLE * i.a + -0.3::DOUBLE * i.b")} * {RHO.format("2 * 0.1::DOUBLE + 0.4::DOUBLE * (i.a + j.a) + 0.2::DOUBLE * (i.b + j.b)")} AS rate
  FROM b i JOIN b j ON abs(i.row - j.row) + abs(i.col - j.col) = 1)"""
 SYM = P + ", m AS (SELECT id1, id2, value FROM p UNION ALL SELECT id2, id1, value FROM p WHERE id1 <> id2)"
 TARGETS = ", t AS (SELECT r_regionkey::BIGINT AS target, cell FROM region JOIN b ON b.row // 8 = r_regionkey AND b.col = 20)"
