@@ -59,6 +59,15 @@ def worker_cache() -> dict:
     return m.cache
 
 
+def worker_memo(name, make):
+    """The worker's one lookup table: that of another operator is dropped, so tables don't add up in a pipeline."""
+    cache = worker_cache()
+    if cache.get("memo name") != name:
+        cache["memo name"], cache["memo"] = name, None
+        cache["memo"] = make()
+    return cache["memo"]
+
+
 def load_tokenizer(path: str):
     """The tokenizer of a .json file, loaded once in a worker, on one thread."""
     import os

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_cache
+from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_memo
 
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew (results don't change).
 MEMO_ENTRIES = 700_000
@@ -171,8 +171,7 @@ class WordIds(dict):
 
 
 def _pack(batches, path: str, window: int, end_id: int, block_tokens: int):
-    cache = worker_cache()
-    memo = cache.get(("ids", path)) or cache.setdefault(("ids", path), WordIds(path))
+    memo = worker_memo(("ids", path), lambda: WordIds(path))
     blank = re.compile(r"[\t\r\n]")
     end = array("I", [end_id]).tobytes()
     base, n_sequences = TaskContext.get().partitionId() << 40, 0

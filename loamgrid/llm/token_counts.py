@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_cache
+from .common import PLAIN, byte_alphabet, load_tokenizer, session, worker_memo
 
 #: Distinct runs and pre-tokens whose counts a worker keeps; beyond it the table starts anew (results don't change).
 MEMO_ENTRIES = 700_000
@@ -67,10 +67,7 @@ class PieceCounts(dict):
 
 def _counts(batches, path: str, limit: int):
     cut = re.compile(r"(?= \S)").split
-    cache = worker_cache()
-    if ("pieces", path) not in cache:
-        cache["pieces", path] = PieceCounts(path)
-    memo = cache["pieces", path]
+    memo = worker_memo(("pieces", path), lambda: PieceCounts(path))
     for batch in batches:
         counts = []
         for t in batch.column(1):
