@@ -17,7 +17,12 @@ bucket's pairs are listed in full:
    different components;
 3. in such buckets of at most ``SMALL`` members, the pairs across components;
 4. larger ones go through 2 and 3 again within bands of set size (linked sets
-   share a band of ratio 1 / similarity), then within a further MinHash band.
+   share a band of ratio 1 / similarity), then within a further MinHash band;
+5. the members of what is still larger are searched exactly by prefix filter: in
+   one order of all shingles, rare ones first, two linked sets share a shingle
+   among the first ``n - ceil(similarity * n) + 1`` of each. Buckets of these
+   shingles go through 2, then all their pairs across components are looked at,
+   in cells of two blocks of about ``SMALL`` members.
 
 A pair of similarity s is a candidate with chance
 ``(1 - (1 - s**3)**12) * (1 - (1 - s**2)**9)``: 0.9997 at 0.8. Before its sets
@@ -51,6 +56,8 @@ N_HASHES = sum(g * r for g, r in COLLECTIONS)
 DIAGONAL = [i * COLLECTIONS[1][0] + i % COLLECTIONS[1][0] for i in range(COLLECTIONS[0][0])]
 LEAST_AGREEING = 28
 SMALL = 64
+#: Counters of shingles, by the highest bits of the hash; they only set the order of the prefix filter.
+SLOT_BITS = 20
 MEMO_ENTRIES = 500_000
 #: Multipliers of the minhashes: odd numbers from a fixed generator.
 MULTIPLIERS = np.random.default_rng(20240607).integers(1, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,6 +165,36 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - SLOT_BITS)
+
+
+def _slot_counts(batches):
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        slot, n = np.unique(_slots(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)), return_counts=True)
+        total[slot] += n
+    slot = np.flatnonzero(total)
+    for at in range(0, len(slot), 1 << 16):
+        part = slot[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles by count of their slot and hash, so many that linked sets have one in common."""
+    order = np.lexsort((shingles, counts[_slots(shingles)]))
+    least_common = -(-percent * len(shingles) // 100)
+    return shingles[order[: len(shingles) - least_common + 1]]
+
+
+def _prefixes(batches, counts: np.ndarray, percent: int):
+    for b in batches:
+        keys = [prefix(np.frombuffer(s.as_py(), np.uint64), counts, percent).view(np.int64) for s in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+
+
 def _confirm(batches, percent: int):
     for b in batches:
         keep = []
@@ -183,11 +220,11 @@ class _Links:
             return rows.withColumn(out, F.col(node))
         return rows.join(self.labels.toDF(node, "__label"), node, "left").withColumn(out, F.coalesce("__label", node)).drop("__label")
 
-    def _fetch_sets(self, pairs: DataFrame, n_pairs: int) -> None:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    def fetch_sets(self, wanted: DataFrame, n_wanted: int) -> None:
+        """Keep the sets of a column ``id``."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
-        if 2 * n_pairs <= BROADCAST_IDS:
+        if n_wanted <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
         k = self.k
         new = self.texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary")
@@ -206,7 +243,7 @@ class _Links:
         if not n_pairs:
             return False
         self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        self._fetch_sets(pairs, n_pairs)
+        self.fetch_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * n_pairs)
         percent = self.percent
         held = pairs.join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         links = materialise(held.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
@@ -258,7 +295,31 @@ def _size_keys(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("rep", F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1)).alias("keys"))
 
 
-def _search(members: DataFrame, links: _Links, depth: int, first: bool = True) -> None:
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members across components, in cells of two blocks of about ``SMALL`` members."""
+    blocks = F.ceil(F.col("size") / SMALL)
+    rows = mixed.select("key", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
+    cells = rows.select("key", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "comp", "block")
+    side = lambda x: cells.select("key", "lo", "hi", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("block").alias(f"block_{x}"))
+    return side("a").join(side("b"), ["key", "lo", "hi"]).where("a < b and ca != cb and (lo = hi or block_a != block_b)").select("a", "b").distinct()
+
+
+def _prefix_members(reps: DataFrame, links: _Links) -> DataFrame:
+    """``key, rep, place`` of the buckets of prefix shingles among these classes."""
+    ids = materialise(reps.select(F.col("rep").alias("id")).distinct(), "rest")
+    n_ids = ids.count()
+    links.fetch_sets(ids, n_ids)
+    sets = links.sets.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
+    counted = sets.select("set").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared, percent = reps.sparkSession.sparkContext.broadcast(counts), links.percent
+    return _members(sets.mapInArrow(lambda it: _prefixes(it, shared.value, percent), "rep long, keys array<long>"))
+
+
+def _search(members: DataFrame, links: _Links, depth: int, first: bool = True, whole: bool = False) -> None:
+    """``whole``: look at all pairs that are left of buckets of any size."""
     popular = _popularity(members)
     if first:
         # with the middles of few tables first: most of a group is joined by these, and needs no other table
@@ -272,14 +333,16 @@ def _search(members: DataFrame, links: _Links, depth: int, first: bool = True) -
     if links.look_at(with_least.union(with_middle).distinct()):
         mixed = _mixed(mixed, links)
     mixed = mixed.where("size > 2")
-    few = mixed.where(F.col("size") <= SMALL)
-    left, right = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    links.look_at(left.join(right, "key").where("a < b and ca != cb").select("a", "b").distinct())
+    links.look_at(_across(mixed if whole else mixed.where(F.col("size") <= SMALL)))
     many = mixed.where(F.col("size") > SMALL).select("key", "rep")
-    if depth and many.take(1):
+    if whole or not many.take(1):
+        return
+    if depth:
         of = many.join(links.classes.select("rep", "n", "sig"), "rep")
         keyed = _size_keys(of, links.percent) if first else of.select("key", "rep", "sig").mapInArrow(_further_keys, "rep long, keys array<long>")
         _search(_members(keyed), links, depth - 1, False)
+    else:
+        _search(_prefix_members(many, links), links, 0, False, True)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

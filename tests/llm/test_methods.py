@@ -262,6 +262,20 @@ def test_near_duplicates_of_a_cloud(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(d).collect()} == want
 
 
+def test_near_duplicates_of_a_family_without_a_middle(spark):
+    """Pairs at 0.8 in one family whose other members are just below it: every bucket is large and no member joins others than its own twin."""
+    rng = random.Random(12)
+    texts = {}
+    for k in range(320):
+        w = ["c%d" % j for j in range(1599)] + ["p%d" % (k // 2)] + ["o%d-%d" % (k, j) for j in range(200)]
+        rng.shuffle(w)
+        texts[k] = " ".join(w)
+    want = jaccard_components(texts, 1, 80)
+    assert want == {k: k - k % 2 for k in texts}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(d, k=1).collect()} == want
+
+
 # decontamination
 
 
