@@ -8,8 +8,9 @@ host. Rules by element and class then take what the counts can't see on a host
 of few pages (menus, adverts, forms, comments), and text outside the article of
 a page that marks one.
 
-Two pages count as different if their titles and first headings differ, so
-copies of a page don't turn its text into a template.
+Two pages count as different if their titles, first headings or texts differ;
+copies of a page, whatever their urls, count once and don't turn its text into a
+template.
 
 The recurring keys are sent to the workers only up to ``BROADCAST_KEYS``; beyond
 that they are joined to the pages that hold them.
@@ -160,6 +161,22 @@ def text_of(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
+def shown(node: Node) -> str:
+    """All text of a page but its head, scripts and styles."""
+    parts: list[str] = []
+
+    def walk(x):
+        for c in x.children:
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag not in ("head", "script", "style", "noscript", "template"):
+                walk(c)
+                parts.append(" ")
+
+    walk(node)
+    return " ".join("".join(parts).split())
+
+
 def first(node: Node, tag: str) -> Node | None:
     for c in node.children:
         if not isinstance(c, str):
@@ -192,7 +209,7 @@ def furniture(node: Node, inside: bool = False):
 def subtree_keys(url: str | None, source: str) -> tuple[list[int], int]:
     """Keys of a page's candidate subtrees, each once, and the key of the page itself."""
     root, host = parse(source), host_of(url)
-    name = "\0".join(text_of(x) for x in (first(root, "title"), first(root, "h1")) if x is not None) or url or ""
+    name = "\0".join([*(text_of(x) for x in (first(root, "title"), first(root, "h1")) if x is not None), shown(root)])
     return list({key_of(host, source, c) for c in furniture(root)}), xxhash.xxh3_64_intdigest(name) - 2**63
 
 

@@ -302,6 +302,18 @@ def test_templates_are_removed(spark, bound):
     assert got[3] == "own 3\nText number 3" and got[9] == "Site menu\nown 9\nAlone"
 
 
+@pytest.mark.parametrize("bound", [10, 0])
+def test_templates_of_pages_with_one_title(spark, bound):
+    """A host's pages of one title without h1, and of one title with one h1; and copies of one page among them."""
+    for heading in ("", "<h1>Shop</h1>"):
+        same = lambda k: page(k, "Site menu", f"Text number {k}").replace(f"<title>t{k}</title>", "<title>Shop</title>").replace("<body>", "<body>" + heading)
+        rows_ = [(k, f"http://h.example/{k}", same(k)) for k in range(6)] + [(10 + k, f"http://h.example/copy{k}", same(3)) for k in range(6)]
+        d = spark.createDataFrame(rows_, "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_text(d, broadcast_keys=bound).collect()}
+        want = "Shop\n" * bool(heading) + "own 3\nText number 3"
+        assert got[3] == got[12] == want
+
+
 def test_copies_are_no_template(spark):
     rows_ = [(k, f"http://h.example/{k}", page(1, "Menu", "Same text")) for k in range(20)]
     d = spark.createDataFrame(rows_, "page_id long, url string, html string")
