@@ -250,7 +250,8 @@ def random_walks(edges: DataFrame, walkers: DataFrame, *, steps: int, seed: int
         g = shared.value
         starts = np.searchsorted(g.i, np.arange(len(g.cells) + 1))
         for b in batches:
-            for w, cell in zip(b["walker"], b["cell"]):
+            paths = np.zeros((len(b), steps + 1), np.int64)
+            for k, (w, cell) in enumerate(zip(b["walker"], b["cell"])):
                 rng = np.random.default_rng([seed, int(w)])
                 at = int(np.searchsorted(g.cells, cell))
                 path = [at]
@@ -260,11 +261,27 @@ def random_walks(edges: DataFrame, walkers: DataFrame, *, steps: int, seed: int
                         c = np.cumsum(g.rate[lo:hi])
                         at = int(g.j[lo + np.searchsorted(c, rng.random() * c[-1])])
                     path.append(at)
-                yield pd.DataFrame({"walker": w, "step": np.arange(steps + 1), "cell": g.cells[path]})
+                paths[k] = g.cells[path]
+            yield pd.DataFrame({"walker": np.repeat(b["walker"].to_numpy(), steps + 1), "step": np.tile(np.arange(steps + 1), len(b)), "cell": paths.ravel()})
 
     return walkers.select("walker", "cell").mapInPandas(walk, "walker long, step long, cell long")
 
 
+def first_hits(paths: DataFrame) -> DataFrame:
+    """``walker, cell, step``: the first step at which a walker is in each cell of its path."""
+    return paths.groupBy("walker", "cell").agg(F.min("step").alias("step"))
+
+
+def coalescence_times(paths: DataFrame) -> DataFrame:
+    """``walker1, walker2, step``: the first step at which two walkers are in one cell; pairs that never meet have no row.
+
+    Each pair for itself, as if no other had met, at a chance of 1 to coalesce.
+    """
+    side = lambda w: paths.select("step", "cell", F.col("walker").alias(w))
+    met = side("walker1").join(side("walker2"), ["step", "cell"]).where("walker1 < walker2")
+    return met.groupBy("walker1", "walker2").agg(F.min("step").alias("step"))
+
+
 def scale_by_individual(pairs: DataFrame, *, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """``id, c, a``: fit ``value = c_i c_j (a d + base)`` by alternating least squares on a roster's pairs; base is the mean value."""
     def solve(rows: pd.DataFrame) -> pd.DataFrame:

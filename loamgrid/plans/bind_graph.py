@@ -148,11 +148,26 @@ def _(t):
     return K.interpolate_times(edges(t), obs, targets(t).where("target = 0"), 1.0)
 
 
+def walks(t):
+    """A walker from every cell that has an edge."""
+    e = edges(t)
+    walkers = e.select(F.col("i").alias("walker"), F.col("i").alias("cell")).distinct()
+    return K.random_walks(e, walkers.repartition(t.spark.sparkContext.defaultParallelism, "walker"), steps=100, seed=4)
+
+
 @query("num_random_walk")
 def _(t):
-    e = edges(t)
-    walkers = e.groupBy("i").agg(F.count("*")).orderBy("i").limit(50).select(F.col("i").alias("walker"), F.col("i").alias("cell"))
-    return K.random_walks(e, walkers, steps=100, seed=4).groupBy("walker").agg(F.count_distinct("cell").alias("n_cells"), F.max("step").alias("steps"))
+    return walks(t).groupBy("walker").agg(F.count_distinct("cell").alias("n_cells"), F.max("step").alias("steps"))
+
+
+@query("num_walk_hits")
+def _(t):
+    return K.first_hits(walks(t))
+
+
+@query("num_walk_coalescence")
+def _(t):
+    return K.coalescence_times(walks(t))
 
 
 @query("num_als_scale")

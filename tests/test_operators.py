@@ -171,3 +171,31 @@ def test_principal_components_of_a_line(spark):
     pairs = spark.createDataFrame([(i, j, x[i] * x[j]) for i in range(4) for j in range(i, 4)], "id1 long, id2 long, value double")
     r = kernels.principal_components(pairs, 1).orderBy("id").collect()
     assert r[0]["share1"] == pytest.approx(1) and [v["pc1"] for v in r] == sorted(v["pc1"] for v in r)
+
+
+def test_every_cell_walks(spark):
+    """The query's walkers start in all cells with an edge; hits and meetings against plain loops over the paths."""
+    from loamgrid.plans import bind_graph, bindings
+    from loamgrid.plans.registry import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    starts = {r["i"] for r in bind_graph.edges(t).select("i").distinct().collect()}
+    assert len(starts) > 50
+    assert {r["walker"] for r in bindings.QUERIES["num_random_walk"](spark, sf).collect()} == starts
+    paths, hits = {}, {}
+    for r in bind_graph.walks(t).collect():
+        paths.setdefault(r["walker"], {})[r["step"]] = r["cell"]
+    for w, path in paths.items():
+        assert path[0] == w and sorted(path) == list(range(101))
+        for s in range(101):
+            hits.setdefault((w, path[s]), s)
+    meet = {}
+    for s in range(101):
+        where = {}
+        for w in sorted(paths):
+            for v in where.setdefault(paths[w][s], []):
+                meet.setdefault((v, w), s)
+            where[paths[w][s]].append(w)
+    assert {(r["walker"], r["cell"]): r["step"] for r in bindings.QUERIES["num_walk_hits"](spark, sf).collect()} == hits
+    assert {(r["walker1"], r["walker2"]): r["step"] for r in bindings.QUERIES["num_walk_coalescence"](spark, sf).collect()} == meet
