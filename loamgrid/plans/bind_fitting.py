@@ -51,7 +51,7 @@ def _(t):
 
 @query("num_mcmc")
 def _(t):
-    return Q.mcmc(coarse(t), ["a"], goals(t).where("target < 2"), observed(t).where("target < 2"), TRUE, chains=3, steps=15, scale=50.0)
+    return Q.mcmc(coarse(t), ["a"], goals(t), observed(t), TRUE, chains=3, steps=15, scale=50.0)
 
 
 def hood(t):
