@@ -7,39 +7,39 @@ separate tables would need 540.
 
 Texts with equal shingle sets are one class from the start. Classes that share a
 key are candidates. Every link is confirmed on the full sets; components follow
-the confirmed links. Candidates of a bucket are looked at in steps, so that no
-bucket's pairs are listed in full:
-
-1. in a table per band, every member with the bucket's most popular document
-   (its buckets hold the most members), which in a cloud of copies is its middle;
-2. in buckets of all tables that still hold several components, every member
-   with the least document and with the most popular one, where the two are in
-   different components;
-3. in such buckets of at most ``SMALL`` members, the pairs across components;
-4. larger ones go through 2 and 3 again within bands of set size (linked sets
-   share a band of ratio 1 / similarity), then within a further MinHash band;
-5. the members of what is still larger are searched exactly by prefix filter: in
-   one order of all shingles, rare ones first, two linked sets share a shingle
-   among the first ``n - ceil(similarity * n) + 1`` of each. Buckets of these
-   shingles go through 2, then all their pairs across components are looked at,
-   in cells of two blocks of about ``SMALL`` members.
+the confirmed links. The candidates of a bucket are never listed in full:
+
+1. two rounds of stars: each bucket of several components names a pivot (its most
+   popular member, then one by hash), and each member is compared with the one
+   pivot of another component that it shares most tables with. A round has a pair
+   a class at most;
+2. the members of buckets that still hold several components are thinned exactly.
+   Only a shingle that occurs in two components can be common to a pair across
+   components; a class whose count of such shingles is too small for a link with
+   any member of its buckets goes, which lessens the shingles of the others, so
+   this is repeated;
+3. what is left falls into groups connected by buckets. All pairs across the
+   components of a group are compared on full sets, in cells of two blocks of
+   bounded rows and bytes, and only links leave a cell.
+
+Steps 1 and 2 move rows in proportion to the table. Step 3 takes work with the
+square of a group of classes that share more than the similarity asks with other
+components and still aren't linked with them; it has no limit, so no link is lost.
 
 A pair of similarity s is a candidate with chance
-``(1 - (1 - s**3)**12) * (1 - (1 - s**2)**9)``: 0.9997 at 0.8. Before its sets
-are fetched a pair must agree in size (exactly necessary) and in
-``LEAST_AGREEING`` of its 54 minhashes (a pair at 0.8 fails that with a chance
-of about 1e-6).
+``(1 - (1 - s**3)**12) * (1 - (1 - s**2)**9)``: 0.9997 at 0.8.
 
 Cases: a text without words, empty or null has no set and is linked with
-nothing; a row without doc_id is linked with nothing and has no component;
-rows that share a doc_id are one document; further columns are ignored; an
-empty table gives an empty table.
+nothing; a row without doc_id is linked with nothing and has no component; rows
+that share a doc_id are one document, linked with whatever any of its texts is
+linked with; equal sets are linked, and the least doc_id names a component, so
+ties have no effect; a very long text is read whole, its set takes 8 bytes a word
+in a worker; further columns are ignored, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,12 +52,10 @@ from .common import BROADCAST_IDS, materialise, session, worker_memo
 #: (bands, minhashes in a band) of the two collections.
 COLLECTIONS = ((12, 3), (9, 2))
 N_HASHES = sum(g * r for g, r in COLLECTIONS)
-#: Tables that use every band at least once.
-DIAGONAL = [i * COLLECTIONS[1][0] + i % COLLECTIONS[1][0] for i in range(COLLECTIONS[0][0])]
-LEAST_AGREEING = 28
-SMALL = 64
-#: Counters of shingles, by the highest bits of the hash; they only set the order of the prefix filter.
-SLOT_BITS = 20
+#: Rounds of stars, and rounds of thinning at most.
+STAR_ROUNDS, THINNING_ROUNDS = 2, 3
+#: A block of a cell: classes and bytes of their sets, about.
+BLOCK_ROWS, BLOCK_BYTES = 256, 16 << 20
 MEMO_ENTRIES = 500_000
 #: Multipliers of the minhashes: odd numbers from a fixed generator.
 MULTIPLIERS = np.random.default_rng(20240607).integers(1, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,222 +140,207 @@ def _matrix(column, width: int) -> np.ndarray:
 def _keys(batches):
     for b in batches:
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(tensor_keys(_matrix(b.column(1), N_HASHES)))], names=["rep", "keys"])
-
-
-def _further_keys(batches):
-    for b in batches:
-        if b.num_rows:
-            h = np.concatenate(bands(_matrix(b.column(2), N_HASHES)), 1)
-            key = np.asarray(b.column(0)).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(1), _lists(_mix(key[:, None], h))], names=["rep", "keys"])
-
-
-def _agree(batches):
-    for b in batches:
-        if b.num_rows:
-            same = (_matrix(b.column(2), N_HASHES) == _matrix(b.column(3), N_HASHES)).sum(1) >= LEAST_AGREEING
-            yield b.select(["a", "b"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(tensor_keys(_matrix(b.column(1), N_HASHES)))], names=["cid", "keys"])
 
 
 def _sets(batches, k: int):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
-
-
-def _slots(shingles: np.ndarray) -> np.ndarray:
-    return shingles >> np.uint64(64 - SLOT_BITS)
+        sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
+        fp = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        at = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["rep", "fp", "set"])
 
 
-def _slot_counts(batches):
-    total = np.zeros(1 << SLOT_BITS, np.int64)
+def _confirm(batches, percent: int):
     for b in batches:
-        if not b.num_rows:
-            continue
-        slot, n = np.unique(_slots(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)), return_counts=True)
-        total[slot] += n
-    slot = np.flatnonzero(total)
-    for at in range(0, len(slot), 1 << 16):
-        part = slot[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = 0
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(x) + len(y) - len(np.union1d(x, y))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles by count of their slot and hash, so many that linked sets have one in common."""
-    order = np.lexsort((shingles, counts[_slots(shingles)]))
-    least_common = -(-percent * len(shingles) // 100)
-    return shingles[order[: len(shingles) - least_common + 1]]
+def links_of_cell(cid, comp, n, shared, block, flat, at, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a cell: a spanning forest of those on full sets.
+
+    ``flat`` holds the sets one after the other from ``at``; ``shared`` is a bound of what a class has in common with
+    others. Pairs lie across the two blocks, or within the one.
+    """
+    label, found, one_block = np.unique(comp, return_inverse=True)[1], [], len(set(block.tolist())) < 2
+    _, flat = np.unique(flat, return_inverse=True)
+    mark, starts = np.zeros(len(flat) + 1, np.int64), at[:-1]
+    for i in range(len(cid) - 1):
+        rest = slice(i + 1, None)
+        bound = np.minimum(shared[i], shared[rest])
+        maybe = (label[rest] != label[i]) & (100 * bound >= percent * (n[i] + n[rest] - bound))
+        if not one_block:
+            maybe &= block[rest] != block[i]
+        if not maybe.any():
+            continue
+        mine = flat[at[i] : at[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[flat[at[i + 1] :]], starts[rest] - at[i + 1])
+        mark[mine] = 0
+        for j in np.flatnonzero(maybe & (100 * both >= percent * (n[i] + n[rest] - both))) + i + 1:
+            if label[i] != label[j]:
+                found.append((int(cid[i]), int(cid[j])))
+                label[label == label[j]] = label[i]
+    return found
 
 
-def _prefixes(batches, counts: np.ndarray, percent: int):
-    for b in batches:
-        keys = [prefix(np.frombuffer(s.as_py(), np.uint64), counts, percent).view(np.int64) for s in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+def _cell(table: pa.Table, percent: int) -> pa.Table:
+    t = table.combine_chunks()
+    of = lambda c: t.column(c).to_numpy()
+    sets = t.column("set").combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    at = sets.offsets.to_numpy()
+    flat = sets.values.to_numpy()[at[0] : at[-1]]
+    links = links_of_cell(of("cid"), of("comp"), of("n"), of("shared"), of("block"), flat, (at - at[0]).astype(np.int64), percent)
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _confirm(batches, percent: int):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _short(rows: DataFrame) -> DataFrame:
+    """To be broadcast if it has no more than ``BROADCAST_IDS`` rows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
 
 
-class _Links:
-    """Components by the links confirmed so far, and the pairs that were looked at."""
+class _Components:
+    """Components of classes by the links found so far."""
 
-    def __init__(self, classes: DataFrame, texts: DataFrame, k: int, percent: int):
-        self.classes, self.texts, self.k, self.percent = classes, texts, k, percent
-        self.seen: DataFrame | None = None
-        self.sets: DataFrame | None = None
+    def __init__(self):
         self.labels: DataFrame | None = None
 
-    def label(self, rows: DataFrame, node: str, out: str) -> DataFrame:
+    def of(self, rows: DataFrame, node: str, out: str) -> DataFrame:
         """Add the component of a column of classes."""
         if self.labels is None:
             return rows.withColumn(out, F.col(node))
         return rows.join(self.labels.toDF(node, "__label"), node, "left").withColumn(out, F.coalesce("__label", node)).drop("__label")
 
-    def fetch_sets(self, wanted: DataFrame, n_wanted: int) -> None:
-        """Keep the sets of a column ``id``."""
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
-        if n_wanted <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        k = self.k
-        new = self.texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, set binary")
-        new = materialise(new, "sets", "none")
-        self.sets = new if self.sets is None else self.sets.union(new)
-
-    def look_at(self, pairs: DataFrame) -> bool:
-        """Confirm the pairs (a < b) not looked at before; true if components were joined."""
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        of = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        size = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        close = pairs.join(of("a"), "a").join(of("b"), "b").where(size).select("a", "b", "sig_a", "sig_b")
-        pairs = materialise(close.mapInArrow(_agree, "a long, b long"), "pairs")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            return False
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        self.fetch_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * n_pairs)
-        percent = self.percent
-        held = pairs.join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        links = materialise(held.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+    def add(self, links: DataFrame) -> None:
+        """Join the components of linked classes ``a, b``."""
         if not links.take(1):
-            return False
-        joined = self.label(self.label(links, "a", "la"), "b", "lb")
+            return
+        joined = self.of(self.of(links, "a", "la"), "b", "lb")
         roots = connected_components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        known = self.label(ends, "node", "label").select("node", "label")
+        known = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        known = self.of(known, "node", "label").select("node", "label")
         if self.labels is not None:
             known = self.labels.union(known.join(self.labels.select("node"), "node", "left_anti"))
         self.labels = materialise(known.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        return True
-
-
-def _pairs(members: DataFrame, pivot: str) -> DataFrame:
-    return members.where(F.col("rep") != F.col(pivot)).select(F.least("rep", pivot).alias("a"), F.greatest("rep", pivot).alias("b")).distinct()
-
-
-def _members(keyed: DataFrame) -> DataFrame:
-    """``key, rep, place`` of the buckets with several classes."""
-    rows = keyed.select("rep", F.posexplode("keys").alias("place", "key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("last")).where("least != last").select("key")
-    return materialise(rows.join(buckets, "key").select("key", "rep", "place"), "members")
-
-
-def _middles(rows: DataFrame, popular: DataFrame) -> DataFrame:
-    """``key, middle, middle_comp``: each bucket's most popular member; ``rows``: key, rep, comp."""
-    top = rows.join(popular, "rep").groupBy("key").agg(F.max(F.struct("popularity", "rep", "comp")).alias("top"))
-    return top.select("key", F.col("top.rep").alias("middle"), F.col("top.comp").alias("middle_comp"))
-
-
-def _popularity(members: DataFrame) -> DataFrame:
-    """``rep, popularity``: the members of all buckets of a class, summed."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    return materialise(members.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("popularity")), "popular")
-
-
-def _mixed(members: DataFrame, links: _Links) -> DataFrame:
-    """The members of buckets that hold several components, with their own and the pivot's component."""
-    labelled = links.label(members.select("key", "rep"), "rep", "comp")
-    buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "comp")).alias("first"), F.count("*").alias("size")).where("lo != hi")
-    return materialise(labelled.join(buckets.select("key", "size", F.col("first.rep").alias("pivot"), F.col("first.comp").alias("pivot_comp")), "key"), "mixed")
-
-
-def _size_keys(rows: DataFrame, percent: int) -> DataFrame:
-    """Keys of a bucket's bands of set size: two sets of a ratio of at least ``percent`` / 100 share one."""
-    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + 1e-9)
-    return rows.select("rep", F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1)).alias("keys"))
-
-
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members across components, in cells of two blocks of about ``SMALL`` members."""
-    blocks = F.ceil(F.col("size") / SMALL)
-    rows = mixed.select("key", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    cells = rows.select("key", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "comp", "block")
-    side = lambda x: cells.select("key", "lo", "hi", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("block").alias(f"block_{x}"))
-    return side("a").join(side("b"), ["key", "lo", "hi"]).where("a < b and ca != cb and (lo = hi or block_a != block_b)").select("a", "b").distinct()
-
-
-def _prefix_members(reps: DataFrame, links: _Links) -> DataFrame:
-    """``key, rep, place`` of the buckets of prefix shingles among these classes."""
-    ids = materialise(reps.select(F.col("rep").alias("id")).distinct(), "rest")
-    n_ids = ids.count()
-    links.fetch_sets(ids, n_ids)
-    sets = links.sets.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
-    counted = sets.select("set").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    shared, percent = reps.sparkSession.sparkContext.broadcast(counts), links.percent
-    return _members(sets.mapInArrow(lambda it: _prefixes(it, shared.value, percent), "rep long, keys array<long>"))
-
-
-def _search(members: DataFrame, links: _Links, depth: int, first: bool = True, whole: bool = False) -> None:
-    """``whole``: look at all pairs that are left of buckets of any size."""
-    popular = _popularity(members)
-    if first:
-        # with the middles of few tables first: most of a group is joined by these, and needs no other table
-        some = members.where(F.col("place").isin(DIAGONAL)).withColumn("comp", F.col("rep"))
-        links.look_at(_pairs(some.join(_middles(some, popular), "key"), "middle"))
-    mixed = _mixed(members, links)
-    if not mixed.take(1):
-        return
-    with_least = _pairs(mixed.where("comp != pivot_comp"), "pivot")
-    with_middle = _pairs(mixed.join(_middles(mixed.where("size > 2"), popular), "key").where("middle_comp != comp"), "middle")
-    if links.look_at(with_least.union(with_middle).distinct()):
-        mixed = _mixed(mixed, links)
-    mixed = mixed.where("size > 2")
-    links.look_at(_across(mixed if whole else mixed.where(F.col("size") <= SMALL)))
-    many = mixed.where(F.col("size") > SMALL).select("key", "rep")
-    if whole or not many.take(1):
-        return
-    if depth:
-        of = many.join(links.classes.select("rep", "n", "sig"), "rep")
-        keyed = _size_keys(of, links.percent) if first else of.select("key", "rep", "sig").mapInArrow(_further_keys, "rep long, keys array<long>")
-        _search(_members(keyed), links, depth - 1, False)
-    else:
-        _search(_prefix_members(many, links), links, 0, False, True)
-
-
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """``key, cid, n, popularity`` of the buckets with several classes; popularity sums the sizes of a class's buckets."""
+    keyed = classes.select("cid", "sig").mapInArrow(_keys, "cid long, keys array<long>")
+    rows = keyed.select("cid", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = materialise(rows.join(buckets, "key").select("key", "cid", "size"), "members")
+    popular = rows.groupBy("cid").agg(F.sum("size").alias("popularity")).join(classes.select("cid", "n"), "cid")
+    return materialise(rows.select("key", "cid").join(popular, "cid"), "members")
+
+
+def _mixed(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    return members.join(buckets.where("lo != hi").drop("lo", "hi"), "key")
+
+
+def _star(members: DataFrame, components: _Components, order) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets of several components, and each one's pair with a pivot, if it has any."""
+    labelled = components.of(members, "cid", "comp")
+    pivot = F.max(F.struct(order.alias("order"), F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("top")
+    buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot)
+    mixed = materialise(_mixed(labelled, buckets).select("key", "cid", "n", "popularity", "comp", "top.pivot", "top.pivot_comp"), "mixed")
+    shared = mixed.where("comp != pivot_comp").groupBy("cid", "pivot").agg(F.count("*").alias("tables"))
+    best = shared.groupBy("cid").agg(F.max(F.struct("tables", "pivot")).alias("best"))
+    return mixed.select("key", "cid", "n", "popularity"), best.select(F.col("cid").alias("a"), F.col("best.pivot").alias("b"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    held = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    return materialise(held.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+
+
+def _thinned(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``key, cid, n, comp, shared`` of the classes that may be linked across components; ``members``: key, cid, n, comp."""
+    before = None
+    for _ in range(THINNING_ROUNDS):
+        buckets = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
+        members = materialise(_mixed(members.select("key", "cid", "n", "comp"), buckets), "mixed")
+        rest = materialise(members.groupBy("cid").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.min("least").alias("least")), "rest")
+        left = rest.count()
+        if not left:
+            break
+        spread = sets.join(rest.select("cid", "comp"), "cid").select("cid", "comp", F.explode("set").alias("shingle"))
+        across = spread.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("shingle")
+        shared = spread.select("cid", "shingle").join(across, "shingle").groupBy("cid").agg(F.count("*").alias("shared"))
+        # the other set has `least` shingles at least, percent / 100 of this one's, and all that are shared
+        other = F.greatest("least", F.ceil(F.col("n") * percent / 100), "shared")
+        may = rest.join(shared, "cid").where(100 * F.col("shared") >= percent * (F.col("n") + other - F.col("shared")))
+        members = materialise(members.drop("least").join(may.select("cid", "shared"), "cid"), "thinned")
+        if before is not None and left > 0.9 * before:
+            break
+        before = left
+    return members
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components of groups that are connected by buckets; ``members`` as of ``_thinned``."""
+    star = members.join(members.groupBy("key").agg(F.min("cid").alias("first")), "key")
+    groups = connected_components(star.select(F.col("cid").alias("a"), F.col("first").alias("b"))).toDF("cid", "group")
+    rows = materialise(members.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "comp", "shared"))).join(groups, "cid"), "groups")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, 8 * F.sum("n") / BLOCK_BYTES))
+    rows = rows.join(rows.groupBy("group").agg(blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "comp", "n", "shared", "block")
+    return materialise(cells.join(sets, "cid").groupBy("group", "lo", "hi").applyInArrow(lambda t: _cell(t, percent), "a long, b long"), "links")
+
+
+def _class_sets(texts: DataFrame, wanted: DataFrame, repeated: bool, k: int) -> DataFrame:
+    """``cid, set`` of the classes ``cid, rep, fp``, from the texts of their least documents."""
+    wanted = _short(wanted)
+    found = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(lambda it: _sets(it, k), "rep long, fp binary, set array<long>")
+    found = found.join(wanted, ["rep", "fp"]).select("cid", "set")
+    return materialise(found.dropDuplicates(["cid"]) if repeated else found, "sets", "none")
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row, linked at a Jaccard similarity of ``percent`` / 100."""
     session(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = materialise(texts.mapInArrow(lambda it: _signatures(it, k), "doc_id long, n long, fp binary, sig binary"), "signatures")
-    reps = materialise(signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = materialise(signed.select(F.col("doc_id").alias("rep"), "fp", "n", "sig").join(reps, ["rep", "fp"]).select("rep", "n", "sig").dropDuplicates(["rep"]), "class-signatures")
-    links = _Links(classes, texts, k, percent)
-    _search(_members(classes.select("rep", "sig").mapInArrow(_keys, "rep long, keys array<long>")), links, depth)
-    out = signed.select("doc_id", "n", "fp").join(reps, "fp", "left")
-    out = links.label(out, "rep", "label")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = signed.where("doc_id is not null")
+    classes = named.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # written once, so that an id stays with its class
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    components = _Components()
+    repeated = materialise(named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("rows > 1"), "repeated")
+    several = bool(repeated.take(1))
+    if several:
+        texts_of = named.join(repeated.where("lo != hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "fp").distinct().join(classes.select("fp", "cid"), "fp")
+        first = texts_of.groupBy("doc_id").agg(F.min("cid").alias("a"))
+        components.add(materialise(texts_of.join(first, "doc_id").select("a", F.col("cid").alias("b")).where("a != b").distinct(), "links"))
+    members = _members(classes)
+    sets = _class_sets(texts, classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep", "fp"), several, k)
+    for number in range(STAR_ROUNDS):
+        members, pairs = _star(members, components, F.xxhash64("cid") if number else F.col("popularity"))
+        components.add(_confirmed(pairs, sets, percent))
+    rest = _thinned(components.of(members.select("key", "cid", "n"), "cid", "comp"), sets, percent)
+    if rest.take(1):
+        components.add(_across(rest, sets, percent))
+    # a class of one document that is linked with nothing needs no look-up
+    labelled = components.of(classes.select("fp", "cid", "rep", "last"), "cid", "label")
+    large = labelled.groupBy("label").agg(F.min("rep").alias("component"), F.max("last").alias("last"), F.count("*").alias("classes")).where("classes > 1 or component != last")
+    own = materialise(labelled.join(large.select("label", "component"), "label").select("fp", "component"), "components")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(own, "fp", "left")
+    component = F.coalesce("component", "doc_id")
+    if several:
+        by_doc = repeated.where("hi is not null").select("doc_id", F.col("hi").alias("fp")).join(own.withColumnRenamed("component", "of_doc"), "fp").select("doc_id", "of_doc")
+        out, component = out.join(by_doc, "doc_id", "left"), F.coalesce("component", "of_doc", "doc_id")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def oracle(k: int, percent: int) -> str:

@@ -276,6 +276,43 @@ def test_near_duplicates_of_a_family_without_a_middle(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(d, k=1).collect()} == want
 
 
+def test_near_duplicates_of_documents_with_several_texts(spark):
+    """Document 1 has two texts; the near copies of both are linked with it, through whichever text."""
+    rng = random.Random(3)
+    one, two = ([f"{x}{rng.randrange(500)}" for _ in range(80)] for x in "xy")
+    rows_ = [(1, one), (1, two), (2, one[:78] + ["z"]), (3, two[:78] + ["z"]), (4, one), (5, ["alone"] * 9), (5, []), (1, [])]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in rows_], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(d).collect())
+    assert got == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (5, 5), (5, 5)]
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    base = [f"w{k}" for k in range(60)]
+    d = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:58] + ["z"]))], "doc_id long, text string")
+    d = d.crossJoin(spark.range(2000)).drop("id")
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(d).collect())
+    assert got == {(1, 1): 2000, (2, 1): 2000}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 9), min_size=1), st.integers(0, 3), st.integers(0, 1)), min_size=1, max_size=12))
+def test_links_of_a_cell(rows_):
+    sets, comp, block = ([r[k] for r in rows_] for k in range(3))
+    n = np.array([len(s) for s in sets])
+    flat, at = np.array([x for s in sets for x in sorted(s)], np.int64), np.cumsum([0, *n])
+    links = minhash_dedup.links_of_cell(np.arange(len(sets)), np.array(comp), n, n, np.array(block), flat, at, 60)
+
+    def joined(pairs):
+        label = list(comp)
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    two = len(set(block)) > 1
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if (block[a] != block[b] or not two) and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+    assert joined(links) == joined(want) and set(links) <= {(b, a) for a, b in want}
+
+
 # decontamination
 
 
