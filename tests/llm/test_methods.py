@@ -316,12 +316,39 @@ def test_links_of_a_cell(rows_):
 # decontamination
 
 
+def found_items(spark, docs, items):
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    return {r["doc_id"]: (r["n_hit"], r["items"], r["near_items"]) for r in decontamination.decontaminate(d, i, slop=2).collect()}
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "x alpha y beta z gamma w"), (2, "alpha " + "q " * 30 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
-    items = decontamination.item_words(spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string"))
-    index = decontamination.build_index(d, items, small=True)
-    assert {(r["doc_id"], r["start"]) for r in decontamination.proximity_matches(index, items, slop=2).collect()} == {(1, 1), (3, 0)}
-    assert decontamination.phrase_matches(index, items).collect() == []
+    docs = [(1, "x alpha y beta z gamma w"), (2, "alpha " + "q " * 30 + "beta gamma"), (3, "gamma beta alpha")]
+    assert found_items(spark, docs, [("i", "alpha beta gamma")]) == {1: (0, [], ["i"]), 2: (0, [], []), 3: (0, [], ["i"])}
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 40)))) for k in range(40)]
+    items = [(f"i{k}", " ".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(1, 6)))) for k in range(25)]
+    got = found_items(spark, docs, items)
+    for k, t in docs:
+        w = t.split()
+        near = [i for i, x in items if any(set(x.split()) <= set(w[a : a + len(x.split()) + 2]) for a in range(len(w)))]
+        assert got[k][2] == sorted(near)
+
+
+def test_items_that_share_an_id_or_a_text(spark):
+    one, two = " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(12))
+    mixed = " ".join(one.split()[:5] + two.split()[5:10])
+    items = [("i", one), ("i", two), ("j", " ".join(one.split()[:10])), ("k", two), (None, "lone words")]
+    got = found_items(spark, [(1, one), (2, two), (3, " ".join(one.split()[:10])), (4, mixed), (5, "some lone words")], items)
+    assert [got[k][:2] for k in range(1, 6)] == [(12, ["i", "j"]), (12, ["i", "k"]), (10, ["i", "j"]), (0, []), (2, [])]
+
+
+def test_rows_of_one_document_are_apart(spark):
+    d = spark.createDataFrame([(1, "alpha beta"), (1, "gamma delta"), (None, "alpha x gamma"), (None, "y beta")], "doc_id long, text string")
+    i = spark.createDataFrame([("i", "alpha beta gamma delta")], "item_id string, text string")
+    assert [r["n_hit"] for r in decontamination.decontaminate(d, i).collect()] == [0] * 4
 
 
 # pages
