@@ -32,10 +32,23 @@ BROADCAST_IDS = 1_000_000
 
 def without(rows: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
     """The rows whose id is not listed; the list is broadcast where it is short, else joined."""
-    ids = materialise(ids.select(F.col(col).alias("__gone")).where("__gone is not null").distinct(), "ids")
+    gone = "gone"
+    while gone in {c.lower() for c in rows.columns}:
+        gone += "_"
+    ids = materialise(ids.select(F.col(col).alias(gone)).where(F.col(gone).isNotNull()).distinct(), "ids")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return rows.join(ids, F.col(col) == F.col("__gone"), "left_anti")
+    return rows.join(ids, F.col(col) == F.col(gone), "left_anti")
+
+
+def whole_row(columns) -> Column:
+    """The columns, of whatever names, as one struct ``kept_row``."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in columns)).alias("kept_row")
+
+
+def unit_hash(*columns: Column) -> Column:
+    """A number from 0 to 1 by hash, fine enough for any table; null counts as the empty text."""
+    return F.shiftrightunsigned(F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 1) / F.lit(2.0**63)
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

@@ -9,12 +9,15 @@ training text of its length was, by a margin, is marked ``rejected``.
 
 Document frequencies cover all training texts. The centroids are fitted on a
 sample by hash of at most about ``sample_per_language`` texts a language, whole
-texts; the sample is a documented bound, not a part of prediction.
+texts, copies of a row once; the sample is a documented bound, not a part of
+prediction. A language takes 64 kB of the model that every worker holds.
 
 Cases: a text that is null or has no letter is ``und`` with score 0 and is
-rejected, having no language; without any training text all are ``und``; repeated rows give a row each; a null doc_id
-stays null and falls in the fold of the empty text; further columns are
-ignored; an empty table gives an empty table.
+rejected, having no language; without any training text all are ``und``; a very
+long text is counted whole, piece by piece; of languages with equal cosines the
+first by name is taken; repeated rows give a row each; a null doc_id stays null
+and falls in the fold of the empty text; further columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import fold, session, worker_cache
+from .common import fold, session, unit_hash, whole_row, worker_cache
 
 DIM = 4096
 CLUSTERS = 4
@@ -37,7 +41,6 @@ SAMPLE_PER_LANGUAGE = 400
 MARGIN = 0.5
 #: Texts of fewer n-grams are too short to be called foreign.
 LEAST_NGRAMS = 64
-MAX_LANGUAGES = 1000
 PIECE = 1 << 20
 SHARPNESS = 20.0
 
@@ -131,12 +134,10 @@ def fit(train: DataFrame, *, dim: int = DIM, clusters: int = CLUSTERS, sample_pe
         if r["place"] >= 0:
             df[r["place"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = train.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).toArrow()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sizes = F.broadcast(train.sparkSession.createDataFrame(sizes))
-    million = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1_000_000))
-    sample = train.join(sizes, "lang").where(million < F.lit(1e6 * sample_per_language) / F.col("size")).select("lang", "text")
+    mark = unit_hash(F.col("doc_id"), F.col("text"))
+    sizes = train.select("lang", mark.alias("mark")).distinct().groupBy("lang").agg(F.count("*").alias("size"))
+    chosen = train.withColumn("mark", mark).join(F.broadcast(sizes), "lang").where(F.col("mark") < F.lit(float(sample_per_language)) / F.col("size"))
+    sample = chosen.dropDuplicates(["lang", "mark"]).select("lang", "text")
     fitted = sample.groupBy("lang").applyInPandas(lambda rows: _fit_language(rows, idf, clusters), "lang string, centroid binary, least array<double>")
     rows = fitted.collect()
     langs = sorted({r["lang"] for r in rows})
@@ -164,9 +165,9 @@ def classify(text: str | None, m: Model, margin: float) -> tuple[str, float, boo
 def predict(docs: DataFrame, model: Model, *, margin: float = MARGIN, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every row; the columns ``keep`` in a struct ``kept_row``."""
     spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # MAX_LANGUAGES * CLUSTERS centroids of DIM numbers at most
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("kept_row")] if keep else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", lang_pred string, lang_score double, rejected boolean"
+    shared = spark.sparkContext.broadcast(model)  # CLUSTERS centroids of DIM numbers a language
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([whole_row(keep)] if keep else []))
+    schema = StructType([*rows.schema.fields[1:], StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches):
         m = shared.value

@@ -15,13 +15,15 @@ A text is described by rates of byte classes and of pairs of byte classes, and
 by its word and line statistics, over the whole text.
 
 The network is fitted on samples by hash of at most about ``positives`` and
-``unlabelled`` rows (documented bounds); scores cover all rows.
-
-Cases: a null or empty text has a score, that of a text without words; without
-a positive label all scores are the prior 0.5; several labels of one doc_id
-count as good if any is; repeated rows give a row each; a null doc_id stays
-null, has no label and falls in the fold of the empty text; further columns are
-ignored; an empty table gives an empty table.
+``unlabelled`` documents (documented bounds); scores cover all rows.
+
+Cases: a null or empty text has a score, that of a text without words; a very
+long text is read whole; without a positive label all scores are the prior 0.5;
+several labels of one doc_id count as good if any is; repeated rows give a row
+each and are one document of the samples, of several texts the least; a null
+doc_id stays null, has no label and falls in the fold of the empty text; equal
+scores are predicted alike; further columns are ignored, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import fold, materialise, session, worker_cache
+from .common import fold, materialise, session, unit_hash, whole_row, worker_cache
 
 #: Bounds of the training samples (rows, in expectation).
 POSITIVES = 6000
@@ -148,15 +151,15 @@ def fit(train: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unla
     session(train.sparkSession)
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
     # labels meet ids alone; the texts of the samples follow by a broadcast of the sampled ids
-    ids = materialise(train.select("doc_id").join(known, F.col("doc_id") == F.col("id"), "left").select("doc_id", "quality"), "labelled")
+    ids = materialise(train.select("doc_id").distinct().join(known, F.col("doc_id") == F.col("id"), "left").select("doc_id", "quality"), "labelled")
     counts = ids.agg(F.count("*").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("p"), F.count("quality").alias("k")).first()
     if not counts["p"]:
         return None, 0.5
-    share = lambda seed: F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    share = lambda seed: unit_hash(F.col("doc_id"), F.lit(seed))
     as_p = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (share(11) < positives / counts["p"])
     part = F.when(as_p, 1).otherwise(0) + F.when(share(13) < unlabelled / counts["n"], 2).otherwise(0)
     sample = F.broadcast(ids.select(F.col("doc_id").alias("id"), part.alias("part")).where("part > 0").distinct())
-    chosen = train.join(sample, F.col("doc_id") == F.col("id")).select("text", F.lit(0).alias("good"), "part")
+    chosen = train.join(sample, F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("id", "part").agg(F.min("text").alias("text")).select("text", F.lit(0).alias("good"), "part")
     rows = chosen.mapInArrow(_sampled_features, "good int, part int, x binary").collect()
     x = np.vstack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
     parts = np.array([r["part"] for r in rows], int)
@@ -178,8 +181,8 @@ def predict(docs: DataFrame, network: Network | None, prior: float, *, threshold
     """``doc_id, quality_score, predicted`` of every row; the columns ``keep`` in a struct ``kept_row``."""
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(network)  # DIM * 16 numbers
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("kept_row")] if keep else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", quality_score double, predicted int"
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([whole_row(keep)] if keep else []))
+    schema = StructType([*rows.schema.fields[1:], StructField("quality_score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         net = shared.value

@@ -1,6 +1,6 @@
 """A small table of awkward documents."""
 
-CLASHING = "n long, key string, id long, words string, size long, label string, fp string, rep long, item string, pos long, block long, shard long, rejected boolean, held_out boolean, predicted int, quality_score double, lang_pred string"
+CLASHING = "n long, key string, id long, words string, size long, label string, fp string, rep long, item string, pos long, block long, shard long, rejected boolean, held_out boolean, predicted int, quality_score double, lang_pred string, `a.b` string, __gone long, gone long, kept_row string, doc long, cid long"
 
 LOREM = "the quick brown fox jumps over the lazy dog and runs through the green field of barley until the evening sun goes down behind the hills".split()
 
