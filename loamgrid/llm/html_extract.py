@@ -1,30 +1,35 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed into elements. The block elements that could be site
-furniture (not the article, nothing that holds it) are hashed as subtrees, and
-Spark counts on how many different pages of a host each subtree recurs. Subtrees
-that recur on ``MIN_PAGES`` pages or more are deleted from every page of that
-host. Rules by element and class then take what the counts can't see on a host
-of few pages (menus, adverts, forms, comments), and text outside the article of
-a page that marks one.
-
-Two pages count as different if their titles, first headings or texts differ;
-copies of a page, whatever their urls, count once and don't turn its text into a
-template.
+Each page is parsed into elements, and every block element that doesn't hold the
+article or its heading is hashed as a subtree of names and text, attributes left
+out. Spark counts on how many different pages of a host each subtree recurs.
+Subtrees that recur on ``MIN_PAGES`` pages or more are deleted from every page of
+that host; within an article only those on ``MIN_INSIDE`` pages or more and on
+more than half of the host's, as articles quote each other.
+
+Rules by element, role and class, and the article's own mark, then take what
+doesn't recur on its host: a host of few pages shows no recurrence, and menus,
+adverts, forms and comments often differ from page to page.
+
+Two pages count as different if their titles, first headings or articles (all
+text, where none is marked) differ; copies of a page, whatever their urls, count
+once and don't turn its text into a template.
 
 The recurring keys are sent to the workers only up to ``BROADCAST_KEYS``; beyond
 that they are joined to the pages that hold them.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own;
-repeated rows give a row each; a null page_id stays null; further columns are
-ignored; an empty table gives an empty table; elements nested more than
-``MAX_DEPTH`` deep are read as if at that depth.
+a very long page is read whole, in time and memory by its length, and nested to
+any depth; repeated rows give a row each; a null page_id stays null; a subtree
+counts once a page, so ties don't arise; further columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import materialise, session
 
 MIN_PAGES = 4
+MIN_INSIDE = 8
 BROADCAST_KEYS = 2_000_000
-MAX_DEPTH = 200
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,25 +71,25 @@ HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "start", "end", "holds", "chars")
+    __slots__ = ("tag", "attributes", "children", "holds", "chars", "digest")
 
-    def __init__(self, tag: str, attributes: str, start: int):
-        self.tag, self.attributes, self.start = tag, attributes, start
+    def __init__(self, tag: str, attributes: str):
+        self.tag, self.attributes = tag, attributes
         self.children: list = []
-        self.end = start
         self.holds = tag in MAIN or tag == "h1"  # it or something in it is the article or its heading
         self.chars = 0
 
 
 def parse(source: str) -> Node:
     """The element tree of a page; a child is an element or a run of text."""
-    root = Node("", "", 0)
+    root = Node("", "")
     stack, at, n = [root], 0, len(source)
+    nodes, is_open = [root], Counter()
 
-    def close(depth: int, where: int) -> None:
+    def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
-            node.end = where
+            is_open[node.tag] -= 1
             stack[-1].holds |= node.holds
             stack[-1].chars += node.chars
 
@@ -107,17 +112,17 @@ def parse(source: str) -> Node:
         tag = tag.lower()
         if m[1]:
             block = tag in BLOCKS
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if is_open[tag] else 0, 0, -1):
                 if stack[depth].tag == tag:
-                    close(depth, at)
+                    close(depth)
                     break
                 if not block and stack[depth].tag in BLOCKS:
                     break
             continue
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if is_open["p"] else 0, 0, -1):
                 if stack[depth].tag == "p":
-                    close(depth, m.start())
+                    close(depth)
                     break
                 if stack[depth].tag in BLOCKS:
                     break
@@ -130,60 +135,61 @@ def parse(source: str) -> Node:
                 if stack[depth].tag in ends:
                     found = depth
             if found:
-                close(found, m.start())
-        node = Node(tag, m[3], m.start())
+                close(found)
+        node = Node(tag, m[3])
+        nodes.append(node)
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            node.end = at
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             if tag == "title":
                 node.children.append(html.unescape(source[at : end.start() if end else n]))
-            at = node.end = end.end() if end else n
+            at = end.end() if end else n
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-        else:
-            node.end = at
-    close(1, n)
+        stack.append(node)
+        is_open[tag] += 1
+    close(1)
+    for node in reversed(nodes):  # an element comes after those that it lies in
+        parts = [node.tag.encode("utf-8", "surrogatepass")]
+        for c in node.children:
+            if not isinstance(c, str):
+                parts.append(c.digest)
+            elif words := c.split():
+                parts.append(" ".join(words).encode("utf-8", "surrogatepass"))
+        node.digest = xxhash.xxh3_64_digest(b"\0".join(parts))
     return root
 
 
-def text_of(node: Node) -> str:
-    parts: list[str] = []
-
-    def walk(x):
-        for c in x.children:
-            parts.append(c) if isinstance(c, str) else walk(c)
-
-    walk(node)
-    return " ".join("".join(parts).split())
+def events(root: Node, into=lambda node: True):
+    """Depth first, without recursion: each run of text, each element, and None after an element that was gone ``into``."""
+    stack = [(root, iter(root.children))]
+    while stack:
+        c = next(stack[-1][1], None)
+        if c is None:
+            node, _ = stack.pop()
+            if stack:
+                yield node, False
+        elif isinstance(c, str):
+            yield c, True
+        else:
+            yield c, True
+            if into(c):
+                stack.append((c, iter(c.children)))
 
 
-def shown(node: Node) -> str:
-    """All text of a page but its head, scripts and styles."""
-    parts: list[str] = []
+def text_of(root: Node) -> str:
+    return " ".join("".join(c for c, _ in events(root) if isinstance(c, str)).split())
 
-    def walk(x):
-        for c in x.children:
-            if isinstance(c, str):
-                parts.append(c)
-            elif c.tag not in ("head", "script", "style", "noscript", "template"):
-                walk(c)
-                parts.append(" ")
 
-    walk(node)
-    return " ".join("".join(parts).split())
+def shown(root: Node) -> str:
+    """All text of an element but that of heads, scripts and styles."""
+    hidden = ("head", "script", "style", "noscript", "template")
+    return " ".join("".join(c if isinstance(c, str) else " " for c, _ in events(root, lambda x: x.tag not in hidden)).split())
 
 
-def first(node: Node, tag: str) -> Node | None:
-    for c in node.children:
-        if not isinstance(c, str):
-            found = c if c.tag == tag else first(c, tag)
-            if found is not None:
-                return found
-    return None
+def first(root: Node, *tags: str) -> Node | None:
+    return next((c for c, _ in events(root) if not isinstance(c, str) and c.tag in tags), None)
 
 
 def host_of(url: str | None) -> str:
@@ -191,26 +197,31 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def key_of(host: str, source: str, node: Node) -> int:
-    """Signed 64-bit hash of a host's subtree: its source with white space runs as one blank."""
-    return xxhash.xxh3_64_intdigest(host + "\0" + " ".join(source[node.start : node.end].split())) - 2**63
+def key_of(host: str, digest: bytes, inside: bool = False) -> int:
+    """Signed 64-bit hash of a host's subtree, apart within articles; with an empty digest that of the host."""
+    return xxhash.xxh3_64_intdigest(b"%d" % inside + digest + host.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def furniture(node: Node, inside: bool = False):
-    """The elements outside the article that may be templates: blocks with text that don't hold the article."""
-    for c in node.children:
-        if isinstance(c, str) or inside or c.tag in MAIN or c.tag in ("head", "script", "style"):
-            continue
-        if c.tag in BLOCKS and not c.holds and c.chars and c.tag not in ("html", "body"):
-            yield c
-        yield from furniture(c)
+def candidate(node: Node) -> bool:
+    """A block with text that doesn't hold the article: it may be a template."""
+    return node.tag in BLOCKS and not node.holds and node.chars > 0 and node.tag not in ("html", "body", "head")
 
 
-def subtree_keys(url: str | None, source: str) -> tuple[list[int], int]:
-    """Keys of a page's candidate subtrees, each once, and the key of the page itself."""
+def subtree_keys(url: str | None, source: str) -> tuple[dict[int, bool], int, int]:
+    """A page's candidate subtrees, each once, with whether they lie in an article; the keys of its host and of itself."""
     root, host = parse(source), host_of(url)
-    name = "\0".join([*(text_of(x) for x in (first(root, "title"), first(root, "h1")) if x is not None), shown(root)])
-    return list({key_of(host, source, c) for c in furniture(root)}), xxhash.xxh3_64_intdigest(name) - 2**63
+    main = first(root, *MAIN)
+    name = "\0".join([*(text_of(x) for x in (first(root, "title"), first(root, "h1")) if x is not None), shown(main or root)])
+    own = key_of(host, b"")
+    keys, inside = {own: False}, 0
+    for c, opened in events(root, lambda x: x.tag not in RAW):
+        if isinstance(c, str):
+            continue
+        if opened and candidate(c):
+            keys[key_of(host, c.digest, inside > 0)] = inside > 0
+        if c.tag in MAIN:
+            inside += 1 if opened else -1
+    return keys, own, xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) - 2**63
 
 
 def boilerplate(node: Node, in_main: bool) -> bool:
@@ -231,9 +242,10 @@ def boilerplate(node: Node, in_main: bool) -> bool:
 def main_text(url: str | None, source: str, recurring) -> str:
     """Text of a page without the subtrees whose keys are ``recurring``, one line a block."""
     root, host = parse(source), host_of(url)
-    marked = any(first(root, t) is not None for t in MAIN)
+    only_main = first(root, *MAIN) is not None
     lines: list[str] = []
     run: list[str] = []
+    inside = 0
 
     def flush():
         line = " ".join("".join(run).split())
@@ -241,42 +253,37 @@ def main_text(url: str | None, source: str, recurring) -> str:
         if line:
             lines.append(line)
 
-    def walk(node: Node, in_main: bool):
-        for c in node.children:
-            if isinstance(c, str):
-                if in_main or not marked:
-                    run.append(c)
-                continue
-            if c.tag == "br":
-                run.append(" ")
-                continue
-            block, inside = c.tag in BLOCKS, in_main or c.tag in MAIN
-            if not inside and block and not c.holds and c.chars and c.tag not in ("html", "body") and recurring(key_of(host, source, c)):
-                flush()
-                continue
-            if boilerplate(c, in_main):
-                if block:
-                    flush()
-                continue
-            if block:
-                flush()
-            walk(c, inside)
-            if block:
-                flush()
-
-    walk(root, False)
+    def kept(node: Node) -> bool:
+        if candidate(node) and recurring(key_of(host, node.digest, inside > 0)):
+            return False
+        return not boilerplate(node, inside > 0)
+
+    state = {"into": True}
+    for c, opened in events(root, lambda _: state["into"]):
+        if isinstance(c, str):
+            if inside or not only_main:
+                run.append(c)
+            continue
+        if opened and c.tag == "br":
+            run.append(" ")
+        if c.tag in BLOCKS:
+            flush()
+        if opened:
+            state["into"] = kept(c)
+        if c.tag in MAIN and (not opened or state["into"]):
+            inside += 1 if opened else -1
     flush()
     return "\n".join(lines)
 
 
 def _keys(batches):
     for b in batches:
-        keys, names = [], []
+        rows = []
         for url, source in zip(b.column(0), b.column(1)):
-            found, name = subtree_keys(url.as_py(), source.as_py())
-            keys += found
-            names += [name] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], names=["key", "page"])
+            found, host, name = subtree_keys(url.as_py(), source.as_py())
+            rows += [(k, host, inside, name) for k, inside in found.items()]
+        cols = zip(*rows) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["key", "host", "inside", "page"])
 
 
 def _texts(batches, sets):
@@ -287,12 +294,15 @@ def _texts(batches, sets):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_inside: int = MIN_INSIDE, broadcast_keys: int = BROADCAST_KEYS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     spark = session(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    keyed = rows.select("url", "html").mapInArrow(_keys, "key long, page long")
-    recurring = keyed.groupBy("key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages).select("key")
+    keyed = rows.select("url", "html").mapInArrow(_keys, "key long, host long, inside boolean, page long")
+    counts = materialise(keyed.groupBy("key", "host", "inside").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages), "subtrees")
+    hosts = counts.where("key = host").select("host", F.col("n").alias("pages"))
+    many = ~F.col("inside") | (F.col("n") >= min_inside) & (2 * F.col("n") > F.col("pages"))
+    recurring = counts.join(hosts, "host").where(many).select("key")
     held = recurring.limit(broadcast_keys + 1).toArrow().column("key")
     schema = "page_id long, url string, text string"
     if len(held) <= broadcast_keys:
@@ -320,7 +330,7 @@ def _keys_of_rows(batches):
     for b in batches:
         rows, keys = [], []
         for row, url, source in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            found, _ = subtree_keys(url.as_py(), source.as_py())
+            found = subtree_keys(url.as_py(), source.as_py())[0]
             keys += found
             rows += [row] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64())], names=["row", "key"])

@@ -384,6 +384,57 @@ def test_copies_are_no_template(spark):
     assert {r["text"] for r in html_extract.extract_text(d).collect()} == {"Menu\nown 1\nSame text"}
 
 
+def test_templates_within_articles(spark):
+    """A block that recurs in the articles of most pages of a host goes, a passage that some of them share stays."""
+    article = lambda k: f"<title>t{k}</title><article><h1>H{k}</h1><div>Follow us</div><p>Own {k}</p>" + "<p>Shared passage</p>" * (k < 9) + "</article>"
+    rows_ = [(k, f"http://h.example/{k}", article(k)) for k in range(20)] + [(k, f"http://small.example/{k}", article(k)) for k in range(30, 33)]
+    d = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(d).collect()}
+    assert got[3] == "H3\nOwn 3\nShared passage" and got[15] == "H15\nOwn 15" and got[30] == "H30\nFollow us\nOwn 30"
+
+
+def test_subtree_counts_against_brute_force(spark):
+    """Deletions of random pages, against counts over nested tuples."""
+    rng = random.Random(11)
+    blocks = [["div", f"menu {k}"] for k in range(20)]
+
+    def tree(depth):
+        return ["div", *(rng.choice(blocks) if rng.random() < 0.5 or not depth else tree(depth - 1) for _ in range(rng.randrange(1, 4)))]
+
+    def write(x):
+        return x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(write, x[1:])) + f"</{x[0]}>"
+
+    pages_ = {k: ["body", tree(2), ["p", f"own {k}"], tree(1)] for k in range(40)}
+    host = {k: k % 4 for k in pages_}
+
+    def subtrees(x):
+        if not isinstance(x, str):
+            if x[0] != "body":
+                yield repr(x)
+            for c in x[1:]:
+                yield from subtrees(c)
+
+    seen = Counter((host[k], s) for k, x in pages_.items() for s in set(subtrees(x)))
+
+    def lines(k, x):
+        if isinstance(x, str):
+            return [x]
+        if x[0] != "body" and seen[host[k], repr(x)] >= 4:
+            return []
+        return [y for c in x[1:] for y in lines(k, c)]
+
+    d = spark.createDataFrame([(k, f"http://h{host[k]}.example/{k}", write(x)) for k, x in pages_.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(d).collect()}
+    assert got == {k: "\n".join(lines(k, x)) for k, x in pages_.items()}
+    assert len({t for t in got.values()}) == 40 and any("menu" in t for t in got.values()) and any("menu" not in t for t in got.values())
+
+
+def test_depth_has_no_effect():
+    for depth in (1, 210, 3000):
+        source = "<div>" * depth + "<nav>Menu</nav><p>Body"
+        assert html_extract.main_text("http://x.example", source, lambda k: False) == "Body"
+
+
 def test_article_rules():
     source = """<body class="has-sidebar"><header>Top</header><nav>N</nav><div class="cookie-notice">C</div>
     <article><header><h1>Head</h1></header><p>One<br>two <i>three</i><p>Four<div class="ad">buy</div><form>f</form><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>
