@@ -9,6 +9,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,11 +126,17 @@ def pack_site(scaffold, pos, span: int = 10_000_000) -> Column:
     return col(scaffold).cast("long") * span + col(pos)
 
 
-def fuzz(x, eps: float, seed: int) -> Column:
-    """Multiply by a log-normal factor; random, but fixed by the seed and the partitioning."""
-    return col(x) * F.exp(F.randn(seed) * eps)
+def fuzz(x, eps: float, seed: int, *keys) -> Column:
+    """Multiply by a log-normal factor drawn by the hash of the keys."""
+    u, v = hash_uniform(*keys, seed=seed), hash_uniform(*keys, seed=seed + 1)
+    return col(x) * F.exp(F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v) * eps)
 
 
 def hash_uniform(*columns, seed: int = 0) -> Column:
     """Uniform in [0, 1) from the hash of the columns: a draw that a retried task repeats."""
-    return F.pmod(F.xxhash64(*map(col, columns), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.conv(F.substring(hash_text(*columns, seed=seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def hash_text(*columns, seed: int = 0) -> Column:
+    """A hash of the columns that any SQL engine can repeat."""
+    return F.md5(F.concat_ws("-", *(col(c).cast("string") for c in columns), F.lit(str(seed))).cast("binary"))

@@ -62,6 +62,15 @@ def equation_residuals(edges: DataFrame, h: DataFrame) -> DataFrame:
     return near.join(h, ["target", "cell"]).select("target", "cell", (F.col("s") - F.col("out") * F.col("h") + 1).alias("r"))
 
 
+def solved(edges: DataFrame, h: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target, cell, reached, solved``: whether a time is given, and whether it is 0 on the targets and solves ``(G - D) h = -1`` elsewhere."""
+    near = edges.join(h.select(F.col("cell").alias("j"), "target", F.col("ht").alias("hj")), "j").groupBy("target", F.col("i").alias("cell")).agg(F.sum(F.col("rate") * F.col("hj")).alias("s"), F.sum("rate").alias("out"))
+    rows = h.select("target", "cell", "ht").join(targets.select("target", "cell", F.lit(True).alias("goal")).distinct(), ["target", "cell"], "left").join(near, ["target", "cell"], "left")
+    flow = F.col("out") * F.col("ht")
+    ok = F.when(F.col("ht").isNull(), True).when(F.col("goal"), F.col("ht") == 0).otherwise(F.coalesce(F.abs(F.col("s") - flow + 1) <= 1e-6 * (1 + flow), F.lit(False)))
+    return rows.select("target", "cell", F.col("ht").isNotNull().alias("reached"), ok.alias("solved"))
+
+
 def commute_objective(h: DataFrame, observed: DataFrame, t: float) -> DataFrame:
     """Sum over observed pairs of ((h_ij + h_ji) / 2 - obs + T)^2; null observations don't count. ``h``: i, j, h."""
     both = h.join(h.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("h").alias("back")), ["i", "j"])

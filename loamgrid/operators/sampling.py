@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hash_uniform
+from ..functions.expressions import hash_text, hash_uniform
 from ..sources.scratch import materialise
 
 
 def fixed_sample(df: DataFrame, n: int, keys: list[str], *, seed: int = 0) -> DataFrame:
     """n rows: those of the least hash (a top-n, kept per task before it is merged)."""
-    h = F.xxhash64(*keys, F.lit(seed))
+    h = hash_text(*keys, seed=seed)
     return df.withColumn("__h", h).orderBy("__h", *keys).limit(n).drop("__h")
 
 
 def stratified_sample(df: DataFrame, n: int, by: list[str], keys: list[str], *, seed: int = 0) -> DataFrame:
     """At most n rows of each stratum, by least hash."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(hash_text(*keys, seed=seed), *keys))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
@@ -28,7 +28,7 @@ def block_sample(df: DataFrame, at: str, size: int, share: float, *, seed: int =
 
 def independent_set(nodes: DataFrame, conflicts: DataFrame, *, seed: int = 0) -> DataFrame:
     """A maximal set of nodes without conflicts (a, b): in rounds, every node whose hash is the least among its rivals joins."""
-    priority = lambda c: F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
+    priority = lambda c: F.struct(hash_text(c, seed=seed), F.col(c))
     both = conflicts.union(conflicts.select("b", "a")).toDF("id", "rival").where("id <> rival").distinct()
     left, chosen = nodes.select("id").distinct(), None
     edges = materialise(both, "conflicts")

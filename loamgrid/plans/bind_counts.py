@@ -149,9 +149,10 @@ def _(t):
     return K.centred_covariance(counts(t)).select("i", "j", R("cov").alias("cov"))
 
 
-@query("agg_subsampled_cov")
+@query("agg_subsampled_cov", W + """, z AS (SELECT site, ind, (('0x' || substr(md5(site || '-' || ind || '-1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < x / d)::BIGINT AS z FROM c WHERE d > 0)
+  SELECT a.ind AS i, b.ind AS j, count(*) AS n, round(sum(a.z * b.z) / count(*)::DOUBLE - sum(a.z) / count(*)::DOUBLE * (sum(b.z) / count(*)::DOUBLE), 9) AS cov FROM z a JOIN z b ON a.site = b.site AND a.ind >= b.ind GROUP BY ALL""")
 def _(t):
-    return K.subsampled_covariance(counts(t))
+    return K.subsampled_covariance(counts(t)).select("i", "j", "n", F.round("cov", 9).alias("cov"))
 
 
 @query("agg_site_stats", W + """ SELECT site, count(*) FILTER (WHERE d > 0) AS n_ind, max(d) AS max_cov, min(d) AS min_cov, round(stddev_samp(d), 6) AS sd_cov, sum(A)::BIGINT AS total_A, sum(C)::BIGINT AS total_C, sum(G)::BIGINT AS total_G, sum(T)::BIGINT AS total_T,

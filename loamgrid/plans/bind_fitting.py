@@ -14,6 +14,7 @@ from ..sources import fixtures
 from ..sources import readers as I
 from ..sources.scratch import new_path
 from .domain import COUNTS, GRID, PAIRS, counts, grid, pairs, places
+from .bind_graph import REACHED
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -39,9 +40,11 @@ def observed(t):
     return K.hitting_times(model_edges(t), goals(t)).where("ht > 0").join(coarse(t).where("col % 4 = 2").select("cell"), "cell", "left_semi")
 
 
-@query("num_fit_trust")
+#: The fit recovers the parameters that the observations were made with.
+@query("num_fit_trust", "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS k, unnest([" + ", ".join(map(str, TRUE)) + "]::DOUBLE[]) AS p")
 def _(t):
-    return Q.fit_trust(coarse(t), ["a"], goals(t), observed(t), [0.0, 0.0, 0.0, 0.0, 0.0])
+    last = Q.fit_trust(coarse(t), ["a"], goals(t), observed(t), [0.0, 0.0, 0.0, 0.0, 0.0]).orderBy(F.desc("round")).limit(1)
+    return last.select(F.posexplode(F.array(*[R(f"p{k}", 3) for k in range(5)])).alias("k", "p")).select(F.col("k").cast("long").alias("k"), "p")
 
 
 @query("num_fit_alternating")
@@ -49,9 +52,9 @@ def _(t):
     return Q.fit_alternating(coarse(t), ["a"], goals(t), observed(t), [0.2, 0.1, 0.4, 0.1, 0.3], rounds=2)
 
 
-@query("num_mcmc")
+@query("num_mcmc", "SELECT c AS chain, s AS step, true AS finite FROM range(3) a(c), range(15) b(s)")
 def _(t):
-    return Q.mcmc(coarse(t), ["a"], goals(t), observed(t), TRUE, chains=3, steps=15, scale=50.0)
+    return Q.mcmc(coarse(t), ["a"], goals(t), observed(t), TRUE, chains=3, steps=15, scale=50.0).select("chain", "step", (F.col("sse") >= 0).alias("finite"))
 
 
 def hood(t):
@@ -75,14 +78,18 @@ def _(t):
     return Q.symmetric_interpolation(model_edges(t), w, observed(t).where("target = 1"), goals(t).where("target = 1"), 1.0)
 
 
-@query("num_multigrid")
+COARSE = "WITH RECURSIVE " + GRID + """, k AS (SELECT row // 4 * 13 + col // 4 AS cell, row // 4 AS row, col // 4 AS col FROM g WHERE l2 IS NOT NULL GROUP BY ALL),
+ e AS (SELECT a.cell AS i, b.cell AS j FROM k a JOIN k b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), t AS (SELECT r_regionkey::BIGINT AS target, cell FROM region JOIN k ON k.row // 2 = r_regionkey AND k.col = 5)"""
+
+
+@query("num_multigrid", COARSE + REACHED)
 def _(t):
-    return Q.multigrid(coarse(t), ["a"], goals(t), TRUE, ncol=13)
+    return N.solved(model_edges(t), Q.multigrid(coarse(t), ["a"], goals(t), TRUE, ncol=13), goals(t))
 
 
-@query("num_hit_lbfgs")
+@query("num_hit_lbfgs", COARSE + REACHED)
 def _(t):
-    return Q.nonnegative_times(model_edges(t), goals(t))
+    return N.solved(model_edges(t), Q.nonnegative_times(model_edges(t), goals(t)), goals(t))
 
 
 @query("num_linear_layer_fit")
@@ -107,9 +114,11 @@ def _(t):
     return Q.loess(t.supplier, ["s_nationkey"], "s_suppkey", "s_acctbal")
 
 
-@query("num_nj_tree")
+#: Distances along a line are additive, so the tree's lengths add up to the line's.
+@query("num_nj_tree", "SELECT count(*) AS leaves, (max(round(s_acctbal * 100)::BIGINT) - min(round(s_acctbal * 100)::BIGINT))::DOUBLE AS total FROM supplier")
 def _(t):
-    return Q.neighbour_joining(pairs(t))
+    tree = Q.neighbour_joining(pairs(t))
+    return tree.agg(F.count_if(F.col("node") >= 0).alias("leaves"), R(F.sum("length"), 2).alias("total"))
 
 
 # binary sources

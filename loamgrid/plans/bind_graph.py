@@ -113,33 +113,68 @@ def _(t):
     return N.covariance_from_distances(J.to_symmetric(pairs(t))).select("id1", "id2", R("s", 3).alias("s"))
 
 
-@query("num_pca_eig")
+def orthogonal(matrix, components, n):
+    """``k, l, dot, form``: products of the components, and through the double-centred matrix, scaled to 1 on the diagonal."""
+    long = lambda x: components.select(F.col("id").alias(f"id{x}"), F.posexplode(F.array(*[F.col(f"pc{k + 1}") for k in range(n)])).alias(f"k{x}", f"v{x}"))
+    both = J.to_symmetric(matrix)
+    c = N.double_centre(both).join(F.broadcast(long(1)), "id1").groupBy("k1", "id2").agg(F.sum(F.col("c") * F.col("v1")).alias("cv"))
+    form = c.join(long(2), "id2").groupBy("k1", "k2").agg(F.sum(F.col("cv") * F.col("v2")).alias("form"))
+    size = form.where("k1 = k2").select("k1", F.abs("form").alias("size"))
+    dot = long(1).join(long(2), F.col("id1") == F.col("id2")).groupBy("k1", "k2").agg(F.sum(F.col("v1") * F.col("v2")).alias("dot"))
+    every = form.join(dot, ["k1", "k2"]).join(size, "k1").join(size.toDF("k2", "size2"), "k2")
+    r = lambda c: (F.round(c, 6) + 0.0)  # noqa: E731  no negative zeros
+    return every.select((F.col("k1") + 1).cast("long").alias("k"), (F.col("k2") + 1).cast("long").alias("l"), r(F.col("dot")).alias("dot"), r(F.abs("form") / F.sqrt(F.col("size") * F.col("size2"))).alias("form"))
+
+
+ORTHOGONAL = "SELECT k, l, (k = l)::INTEGER::DOUBLE AS dot, (k = l)::INTEGER::DOUBLE AS form FROM range(1, {0}) a(k), range(1, {0}) b(l)"
+
+
+@query("num_pca_eig", ORTHOGONAL.format(5))
 def _(t):
-    return K.principal_components(pairs(t), 4)
+    return orthogonal(pairs(t), K.principal_components(pairs(t), 4), 4)
 
 
-@query("num_scaffold_pca")
+@query("num_scaffold_pca", ORTHOGONAL.format(4))
 def _(t):
     from ..operators.counts import centred_covariance
     from .domain import counts
 
     c = centred_covariance(counts(t)).select(F.col("j").alias("id1"), F.col("i").alias("id2"), F.col("cov").alias("value"))
-    return K.principal_components(c, 3)
+    return orthogonal(c, K.principal_components(c, 3), 3)
 
 
-@query("num_hit_analytic")
+#: Cells that reach each target set along the edges, for the queries that solve an equation exactly: their SQL says
+#: which cells have a time, and that the equation holds in all of them.
+REACHED = """, r(target, cell) AS (SELECT target, cell FROM t WHERE cell IN (SELECT i FROM e) UNION SELECT r.target, e.i FROM r JOIN e ON e.j = r.cell)
+ SELECT q.target, c.cell, EXISTS (SELECT 1 FROM r WHERE r.target = q.target AND r.cell = c.cell) AS reached, true AS solved FROM (SELECT DISTINCT target FROM t) q, (SELECT i AS cell FROM e UNION SELECT j FROM e) c"""
+
+
+@query("num_hit_analytic", "WITH RECURSIVE " + EDGES + TARGETS + REACHED)
 def _(t):
-    return K.hitting_times(edges(t), targets(t))
+    return N.solved(edges(t), K.hitting_times(edges(t), targets(t)), targets(t))
+
+
+BLOCKED = EDGES.replace(", e AS (", ", e0 AS (") + ", e AS (SELECT * FROM e0 WHERE j NOT IN (SELECT cell FROM b WHERE b > 1.4))"
 
 
-@query("num_hit_blocked_analytic")
+@query("num_hit_blocked_analytic", "WITH RECURSIVE " + BLOCKED + TARGETS.replace("b.col = 20", "b.col = 20 AND b.b <= 1.4") + REACHED.replace("r.cell = c.cell)", "r.cell = c.cell AND c.cell NOT IN (SELECT cell FROM b WHERE b > 1.4))"))
 def _(t):
-    return K.hitting_times(edges(t), targets(t), cells(t).where("b > 1.4"))
+    stop = cells(t).where("b > 1.4")
+    return N.solved(N.drop_into(edges(t), stop), K.hitting_times(edges(t), targets(t), stop), targets(t))
 
 
-@query("num_sensitivity")
+@query("num_sensitivity", "WITH RECURSIVE " + EDGES + TARGETS + REACHED.replace("true AS solved", "true AS solved, true AS gradient"))
 def _(t):
-    return K.hitting_sensitivity(edges(t), targets(t))
+    s, e = K.hitting_sensitivity(edges(t), targets(t)), edges(t)
+    h = s.select("target", "cell", "ht", "d_beta", "d_gamma", "d_delta")
+    far = h.select("target", F.col("cell").alias("j"), F.col("ht").alias("hj"), F.col("d_gamma").alias("gj"), F.col("d_delta").alias("dj"))
+    near = e.join(far, "j").join(h.withColumnRenamed("cell", "i"), ["target", "i"])
+    rise = lambda factor, d_far, d: F.sum(F.col("rate") * (factor * (F.col("hj") - F.col("ht")) + F.col(d_far) - F.col(d)))
+    flow = near.groupBy("target", F.col("i").alias("cell")).agg(F.sum("rate").alias("out"), rise(F.col("gi"), "gj", "d_gamma").alias("rg"), rise(F.col("dij"), "dj", "d_delta").alias("rd"), F.max(F.abs("ht") + F.abs("d_gamma") + F.abs("d_delta")).alias("size"))
+    ok = N.solved(e, h.select("target", "cell", "ht"), targets(t)).join(flow, ["target", "cell"]).join(h.drop("ht"), ["target", "cell"]).join(targets(t).withColumn("goal", F.lit(True)), ["target", "cell"], "left")
+    small = lambda c: F.abs(F.col(c)) <= 1e-6 * (1 + F.col("out") * F.col("size"))
+    gradient = F.when(~F.col("reached"), True).when(F.col("goal"), (F.col("d_gamma") == 0) & (F.col("d_delta") == 0)).otherwise(small("rg") & small("rd"))
+    return ok.select("target", "cell", "reached", "solved", gradient.alias("gradient"))
 
 
 @query("num_interp")
@@ -155,9 +190,13 @@ def walks(t):
     return K.random_walks(e, walkers.repartition(t.spark.sparkContext.defaultParallelism, "walker"), steps=100, seed=4)
 
 
-@query("num_random_walk")
+@query("num_random_walk", "WITH " + EDGES + " SELECT DISTINCT i AS walker, 100::BIGINT AS steps, true AS neighbours FROM e")
 def _(t):
-    return walks(t).groupBy("walker").agg(F.count_distinct("cell").alias("n_cells"), F.max("step").alias("steps"))
+    w = walks(t)
+    step = w.join(w.select("walker", (F.col("step") + 1).alias("step"), F.col("cell").alias("i")), ["walker", "step"], "left")
+    step = step.join(edges(t).select("i", F.col("j").alias("cell"), F.lit(True).alias("edge")), ["i", "cell"], "left")
+    near = F.col("i").isNull() & (F.col("step") == 0) | F.coalesce("edge", F.lit(False)) | (F.col("i") == F.col("cell"))
+    return step.groupBy("walker").agg(F.max("step").cast("long").alias("steps"), F.every(near).alias("neighbours"))
 
 
 @query("num_walk_hits")

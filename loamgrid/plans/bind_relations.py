@@ -305,21 +305,21 @@ def _(t):
     return t.orders.groupBy("o_orderpriority").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"), F.min("o_totalprice").alias("score"))
 
 
-@query("smp_reservoir")
+@query("smp_reservoir", "SELECT event_id, user_id FROM events ORDER BY md5(event_id || '-5'), event_id LIMIT 200")
 def _(t):
     from ..operators.sampling import fixed_sample
 
     return fixed_sample(t.events.select("event_id", "user_id"), 200, ["event_id"], seed=5).orderBy("event_id")
 
 
-@query("smp_stratified")
+@query("smp_stratified", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '-5'), event_id) <= 100")
 def _(t):
     from ..operators.sampling import stratified_sample
 
     return stratified_sample(t.events.select("event_id", "event_type"), 100, ["event_type"], ["event_id"], seed=5)
 
 
-@query("smp_shuffle_take")
+@query("smp_shuffle_take", "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '-9'), p_partkey LIMIT 300")
 def _(t):
     from ..operators.sampling import fixed_sample
 
@@ -384,7 +384,7 @@ def _(t):
     return S.runs(t.events.withColumn("at", at), "user_id", "at", "event_type")
 
 
-@query("win_sticky_sample")
+@query("win_sticky_sample", "SELECT event_id FROM events WHERE ('0x' || substr(md5((event_id // 100)::BIGINT || '-3'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1")
 def _(t):
     from ..operators.sampling import block_sample
 
@@ -454,9 +454,12 @@ def _(t):
     return p.crossJoin(F.broadcast(r)).select("id1", "id2", R(7 / (1 + F.exp((F.col("value") - F.col("lo")) / F.col("sd")))).alias("size"))
 
 
-@query("prj_fuzz")
+UNIFORM = "('0x' || substr(md5(id1 || '-' || id2 || '-{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("prj_fuzz", P + f" SELECT id1, id2, round(value * exp(sqrt(-2 * ln(1 - {UNIFORM.format(7)})) * cos(2 * pi() * {UNIFORM.format(8)}) * 0.01::DOUBLE), 3) AS value FROM p")
 def _(t):
-    return pairs(t).select("id1", "id2", X.fuzz("value", 0.01, 7).alias("value"))
+    return pairs(t).select("id1", "id2", F.round(X.fuzz("value", 0.01, 7, "id1", "id2"), 3).alias("value"))
 
 
 @query("prj_pair_lines", P + " SELECT a.id AS id1, b.id AS id2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM s a JOIN s b ON a.id < b.id")

@@ -173,10 +173,10 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("freqbin").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("m"))
 
 
-@query("snk_fasta", W + ", m AS (SELECT site, ind, CASE WHEN 2 * x > d THEN 'A' WHEN 2 * x < d THEN 'C' ELSE 'N' END AS b FROM c WHERE site < 200) SELECT 'ind' || ind AS id, string_agg(b, '' ORDER BY site) AS seq FROM m GROUP BY ind")
+@query("snk_fasta", W + ", m AS (SELECT site, ind, CASE WHEN 2 * x > d THEN 'A' WHEN 2 * x < d THEN 'C' ELSE 'N' END AS b FROM c) SELECT 'ind' || ind AS id, string_agg(b, '' ORDER BY site) AS seq FROM m GROUP BY ind")
 def _(t):
     call = F.when(2 * F.col("x") > F.col("d"), "A").when(2 * F.col("x") < F.col("d"), "C")
-    rows = counts(t).where("site < 200").select("site", F.concat(F.lit("ind"), F.col("ind").cast("string")).alias("ind"), call.alias("base"))
+    rows = counts(t).select("site", F.concat(F.lit("ind"), F.col("ind").cast("string")).alias("ind"), call.alias("base"))
     return O.fasta_records(rows)
 
 

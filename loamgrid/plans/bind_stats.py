@@ -154,11 +154,11 @@ def _(t):
     return grid(t).agg(*part(1), *part(2))
 
 
-@query("agg_contig_cor", W + ", h AS (SELECT DISTINCT ind, site // 100 AS contig FROM c WHERE x >= 5 AND site % 100 < 3), n AS (SELECT contig, count(*) AS n FROM h GROUP BY 1) SELECT a.contig AS c1, b.contig AS c2, count(*) AS common, round(count(*) / sqrt(m.n * k.n), 6) AS cosine FROM h a JOIN h b ON a.ind = b.ind AND a.contig < b.contig JOIN n m ON m.contig = a.contig JOIN n k ON k.contig = b.contig GROUP BY a.contig, b.contig, m.n, k.n")
+@query("agg_contig_cor", W + ", h AS (SELECT DISTINCT ind, site // 100 AS contig FROM c WHERE x >= 5), n AS (SELECT contig, count(*) AS n FROM h GROUP BY 1) SELECT a.contig AS c1, b.contig AS c2, count(*) AS common, round(count(*) / sqrt(m.n * k.n), 6) AS cosine FROM h a JOIN h b ON a.ind = b.ind AND a.contig < b.contig JOIN n m ON m.contig = a.contig JOIN n k ON k.contig = b.contig GROUP BY a.contig, b.contig, m.n, k.n")
 def _(t):
     from ..operators.counts import site_pairs
 
-    h = counts(t).where("x >= 5 and site % 100 < 3").select(F.col("ind").alias("site"), F.floor(F.col("site") / 100).alias("ind")).distinct()
+    h = counts(t).where("x >= 5").select(F.col("ind").alias("site"), F.floor(F.col("site") / 100).alias("ind")).distinct()
     n = h.groupBy("ind").agg(F.count("*").alias("n"))
     p = site_pairs(h.withColumn("one", F.lit(1)), ["one"], diagonal=False).groupBy(F.col("j").alias("c1"), F.col("i").alias("c2")).agg(F.count("*").alias("common"))
     both = p.join(n.toDF("c1", "n1"), "c1").join(n.toDF("c2", "n2"), "c2")
