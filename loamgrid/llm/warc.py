@@ -2,7 +2,10 @@
 
 ``write_archives`` writes a WARC/1.1 record per page with Spark's text writer, so
 the files (.gz) lie wherever Spark can write. Of pages with equal payloads the
-least page_id is a response record, the others are revisits of it.
+least page_id is a response record, the others are revisits of it. Pages go to
+archives by classes of size, so that an archive holds ``ARCHIVE_BYTES`` before
+compression at most, or one record that is longer. A file is one gzip stream;
+the index's ``at`` is a record's place in what it unpacks to.
 
 ``read_archives`` reads the files back and gives a locally sorted capture run for
 each archive; ``merge_runs`` deals the runs' rows to key ranges and merges the
@@ -10,10 +13,13 @@ pieces of all runs in a range with a loser tree. Ranges follow each other by URL
 key, time and page, so the result is globally ordered; a hot URL key is split by
 time and page.
 
-Cases: null html is an empty payload; a null url is left out of the record and
-read back as null; pages that share page_id and payload are all responses if
-that page_id is the least; a row without page_id is a response, read back with a
-null page_id; further columns are ignored; an empty table gives an empty result.
+Cases: null html is an empty payload; a very long page is an archive of its own;
+a null url is left out of the record and read back as null; pages that share
+page_id and payload are all responses if that page_id is the least; a row without
+page_id revisits the least page with its payload, and is a response where no page
+with an id has it; equal URL keys and times are ordered by page, archive and
+place; further columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ from .common import materialise, new_path, session
 
 BROADCAST_REVISITS = 500_000
 RECORDS_PER_FILE = 20_000
+#: Bytes of an archive before compression, and the longest payloads of the classes that share archives.
+ARCHIVE_BYTES = 64 << 20
+CLASSES = (64 << 10, 1 << 20, 16 << 20)
 RANGE_ROWS = 100_000
 #: Capture time where the table has none.
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -53,12 +62,15 @@ def _digested(pages: DataFrame, id_col: str, url_col: str, html_col: str, time_c
 def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> None:
     """Write the pages as .gz WARC files into the folder ``path``."""
     rows = _digested(pages, id_col, url_col, html_col, time_col)
-    ids = rows.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first != last").select("digest", "first")
-    again = materialise(ids.join(firsts, "digest").where("page_id != first").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct(), "revisits")
+    ids = materialise(rows.select("page_id", "digest", "n"), "digests")
+    sizes = ids.agg(*(F.count_if((F.col("n") > low) & (F.col("n") <= high)).alias(f"c{k}") for k, (low, high) in enumerate(_size_classes()))).first()
+    ids = ids.where(F.col("n") >= min_bytes).select("page_id", "digest")
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("unnamed"))
+    firsts = firsts.where("first != last or unnamed > 0 and first is not null").select("digest", "first")
+    again = materialise(ids.join(firsts, "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct(), "revisits")
     if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS:
         again = F.broadcast(again)
-    rows = rows.join(again, (F.col("page_id") == F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
@@ -76,7 +88,15 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, records_p
         F.col("http"), F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"),
     )
     # the writer ends each line with \n, which completes the record's last \r\n\r\n
-    rows.select(record.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    for k, (low, high) in enumerate(_size_classes()):
+        if sizes[f"c{k}"]:
+            most = min(records_per_file, max(1, ARCHIVE_BYTES // (high + 1)))
+            some = rows.where((F.col("n") > low) & (F.col("n") <= high)).select(record.alias("value"))
+            some.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _size_classes() -> list[tuple[int, int]]:
+    return list(zip((-1, *CLASSES), (*CLASSES, 1 << 62)))
 
 
 def url_key(url: str | None) -> str:
@@ -201,11 +221,18 @@ def merge_runs(entries: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFrame
     return dealt.mapInArrow(merge, ENTRY)
 
 
+def _exists(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def archive_round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the pages as archives, read them back and merge their runs into the global index."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, **options)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], ENTRY)
     return merge_runs(materialise(read_archives(spark, path), "runs"))
 
 

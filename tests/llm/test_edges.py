@@ -96,7 +96,7 @@ def test_archives(spark):
     got = {r["page_id"]: r for r in rows}
     assert (got[2]["record_type"], got[2]["refers_to"]) == ("revisit", 1) and got[1]["record_type"] == "response"
     assert (got[4]["record_type"], got[4]["refers_to"]) == ("revisit", 3) and got[4]["payload_bytes"] == 0
-    assert got[3]["url"] is None and got[None]["record_type"] == "response"
+    assert got[3]["url"] is None and (got[None]["record_type"], got[None]["refers_to"]) == ("revisit", 5)
     assert [r["urlkey"] for r in rows] == sorted(r["urlkey"] for r in rows)
     assert warc.archive_round_trip(pages(spark).where("false")).collect() == []
 

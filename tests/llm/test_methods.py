@@ -461,3 +461,26 @@ def test_merge_is_global(spark):
     keys = [(r["urlkey"], r["captured"], r["page_id"]) for r in merged]
     assert len(keys) == 300 and keys == sorted(keys) and len({r["archive"] for r in merged}) >= 15
     assert sum(r["record_type"] == "response" for r in merged) == 11
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    """40 MB of pages of mixed sizes at one file a task: small pages share archives up to the bound, a long one is alone."""
+    from loamgrid.sources.scratch import new_path
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4 << 20)
+    d = spark.range(60).selectExpr("id AS page_id", "concat('http://h.example/', id) AS url", "repeat(cast(id AS string), IF(id % 20 = 10, 2500000, 50000)) AS html").coalesce(1)
+    path = new_path(spark, "warc-bytes")
+    warc.write_archives(d, path)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    import gzip
+
+    for f in files:
+        got = list(warc.parse_archive(gzip.decompress(f["content"])))
+        assert len(got) == 1 or sum(len(p) for *_, p in got) <= 4 << 20
+    assert len(files) < 40 and warc.read_archives(spark, path).count() == 60
+
+
+def test_rows_without_page_id_revisit(spark):
+    d = spark.createDataFrame([(7, "same"), (None, "same"), (3, "same"), (None, "alone"), (None, "alone")], "page_id long, html string").selectExpr("page_id", "'http://x.example/' AS url", "html")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(d).collect())
+    assert got == [(0, "response", None), (0, "response", None), (0, "revisit", 3), (3, "response", None), (7, "revisit", 3)]
