@@ -8,15 +8,20 @@ part is put back for scoring).
 
 The corpus is held as blocks of dictionary-coded texts. Each block's distinct
 n-grams are dealt to shards by a 62-bit key (packed arrays, one row for a block
-and a shard), summed there, and the totals go back to the blocks. So a row moves
-per block and shard, never per token, no key is hot, and the number of shards
-follows the number of tokens. Two keys of a corpus of n different n-grams
-collide with a chance of about n * n / 2**63.
+and a shard), summed there, and the totals go back to the blocks. No row moves
+per token, no key is hot, and the number of shards follows the number of tokens.
+A block deals to at most ``FAN_OUT`` ranges: where more shards are needed, the
+pieces of some blocks in one range are merged to a run, which is dealt to parts of
+the range, and the totals return the same way. So the rows grow with the number of
+blocks times the logarithm of the number of shards. Two keys of a corpus of n
+different n-grams collide with a chance of about n * n / 2**63.
 
 Cases: a null or empty text holds the end token alone; repeated rows count and
 score as rows of their own; a null doc_id stays null and falls in the fold of
 the empty text; without training texts the estimates are uniform; further
-columns are ignored; an empty table gives an empty table.
+columns are ignored; a very long text is a block of its own and held whole, as is
+every text (about 100 bytes a token in a task); there are no ties, as nothing is
+ranked; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ ORDER = 2
 #: Tokens of a block (the last document may exceed it) and distinct n-grams of a shard, about.
 BLOCK_TOKENS = 2_000_000
 SHARD_ENTRIES = 600_000
+#: Ranges that a block deals to, at most.
+FAN_OUT = 256
 ROUNDS = 12
 TOLERANCE = 1e-4
 BUCKETS = 40
@@ -54,6 +61,16 @@ def _expand(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where they fit, else in 8."""
+    return _squeeze(a.astype(np.uint32 if a.max(initial=0) < 2**32 else np.uint64))
+
+
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64)
+
+
 class Vocabulary(dict):
     """Number of each word, in order of appearance."""
 
@@ -136,10 +153,15 @@ class Block:
         self.sorted = np.argsort(self.keys, kind="stable")
 
     def shards(self, n: int):
-        """(shard, places of its keys), by the keys' upper bits."""
-        of = ((self.keys[self.sorted] >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        cuts = np.searchsorted(of, np.arange(n + 1, dtype=np.uint64))
-        return [(s, self.sorted[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        """(shard, places of its keys)."""
+        return [(s, self.sorted[a:b]) for s, a, b in _ranges(self.keys[self.sorted], n)]
+
+
+def _ranges(keys: np.ndarray, n: int):
+    """(shard, start, end) of sorted keys in n shards by their upper bits; n times k shards are parts of n."""
+    of = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(of, prepend=np.uint64(2**63)))
+    return [(int(of[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(of)])]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,27 +179,81 @@ def _rows(batches):
 def _deal(batches, order: int, n_shards: int):
     for r in _rows(batches):
         block = Block(r, order)
-        out = [(s, r["block"], block.keys[i].tobytes(), _squeeze(block.train[i].astype(np.uint32)), _squeeze(block.deleted[i].astype(np.uint32))) for s, i in block.shards(n_shards)]
+        out = [(s, r["block"], block.keys[i].tobytes(), _pack(block.train[i]), _pack(block.deleted[i])) for s, i in block.shards(n_shards)]
         for k in range(0, len(out), 64):
             cols = [pa.array(list(c), t) for c, t in zip(zip(*out[k : k + 64]), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "block", "keys", "train", "deleted"])
 
 
-def _total(rows: pa.Table) -> pa.Table:
-    """Totals of a shard's keys, a row back for each block, and a row without block that counts the training words."""
-    rows = rows.sort_by("block")
-    blocks, keys = rows.column("block").to_pylist(), [np.frombuffer(k.as_py(), np.uint64) for k in rows.column("keys")]
+def _sums(rows: pa.Table):
+    """Distinct keys of some pieces with their counts, and each piece's places in them."""
+    keys = [np.frombuffer(k.as_py(), np.uint64) for k in rows.column("keys")]
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
     sums = []
     for name in ("train", "deleted"):
-        each = np.concatenate([_expand(x.as_py(), np.uint32) for x in rows.column(name)])
+        each = np.concatenate([_unpack(x.as_py(), len(k)) for x, k in zip(rows.column(name), keys)])
         sums.append(np.bincount(where, weights=each, minlength=len(distinct)).astype(np.uint64))
     cuts = np.cumsum([0, *map(len, keys)])
-    back = [[_squeeze(s[where[a:b]].astype(np.uint64)) for a, b in zip(cuts[:-1], cuts[1:])] for s in sums]
+    return distinct, sums, [where[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _back(rows: pa.Table, sums, places, n_tokens: int = 0, n_words: int = 0) -> pa.Table:
+    """A row with the totals of each piece, and a row without block with the counts of words."""
+    shard, blocks = rows.column("shard")[0].as_py(), rows.column("block").to_pylist()
+    cols = [pa.array([*(_squeeze(s[p]) for p in places), None], pa.binary()) for s in sums]
+    count = lambda x: pa.array([0] * len(blocks) + [x], pa.int64())
+    return pa.table([pa.array([*blocks, None], pa.int64()), pa.array([shard] * (len(blocks) + 1), pa.int32()), *cols, count(n_tokens), count(n_words)], names=["block", "shard", "train", "deleted", "n_tokens", "n_words"])
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """Totals of a shard's keys, a row back for each piece, and a row without block that counts the training words."""
+    distinct, sums, places = _sums(rows)
     word = (distinct & np.uint64(3) == 0) & (distinct != (BOS & ~np.uint64(3))) & (sums[0] > 0)
-    shard = rows.column("shard")[0].as_py()
-    n = len(blocks) + 1
-    return pa.table({"block": pa.array([*blocks, None], pa.int64()), "shard": pa.array([shard] * n, pa.int32()), "train": pa.array([*back[0], None], pa.binary()), "deleted": pa.array([*back[1], None], pa.binary()), "n_tokens": pa.array([0] * (n - 1) + [int(sums[0][word].sum())], pa.int64()), "n_words": pa.array([0] * (n - 1) + [int(word.sum())], pa.int64())})
+    return _back(rows, sums, places, int(sums[0][word].sum()), int(word.sum()))
+
+
+def _merge(rows: pa.Table, n_shards: int) -> pa.Table:
+    """The pieces of a run as one, dealt to the parts of its range."""
+    distinct, sums, _ = _sums(rows)
+    run = rows.column("run")[0].as_py()
+    out = [(s, run, distinct[a:b].tobytes(), _pack(sums[0][a:b]), _pack(sums[1][a:b])) for s, a, b in _ranges(distinct, n_shards)]
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["shard", "block", "keys", "train", "deleted"])
+
+
+def _hand_back(rows: pa.Table, totals: pa.Table) -> pa.Table:
+    """The totals of a run's parts, handed to the pieces that it was merged from."""
+    totals = totals.sort_by("part")
+    sums = [np.concatenate([_expand(x.as_py(), np.uint64) for x in totals.column(name)]) for name in ("train", "deleted")]
+    return _back(rows, sums, _sums(rows)[2])
+
+
+PIECE = "shard int, block long, keys binary, train binary, deleted binary"
+TOTALS = "block long, shard int, train binary, deleted binary, n_tokens long, n_words long"
+
+
+def _shard_levels(n_shards: int, fan_out: int) -> list[int]:
+    """Numbers of shards by level, each the same multiple of the one before."""
+    levels, step = 1, 1
+    while fan_out**levels < n_shards:
+        levels += 1
+    while step**levels < n_shards:
+        step += 1
+    return [step ** (k + 1) for k in range(levels)]
+
+
+def _add_up(pieces: DataFrame, sizes: list[int], n_runs: int, group: int):
+    """Totals for every piece, and the corpus' training tokens and words."""
+    if len(sizes) == 1:
+        totals = materialise(pieces.groupBy("shard").applyInArrow(_total, TOTALS), "totals")
+        corpus = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("v")).first()
+    else:
+        n_groups, n_next, step = -(-n_runs // group), sizes[1], sizes[1] // sizes[0]
+        pieces = materialise(pieces.withColumn("run", F.pmod(F.xxhash64("block"), F.lit(n_groups))), "pieces")
+        merged = pieces.groupBy("shard", "run").applyInArrow(lambda t: _merge(t, n_next), PIECE)
+        above, corpus = _add_up(merged, sizes[1:], n_groups, group)
+        above = above.select(F.floor(F.col("shard") / step).cast("int").alias("shard"), F.col("block").alias("run"), F.col("shard").alias("part"), "train", "deleted")
+        totals = materialise(pieces.groupBy("shard", "run").cogroup(above.groupBy("shard", "run")).applyInArrow(_hand_back, TOTALS), "totals")
+    return totals.where("block is not null"), corpus
 
 
 def _estimates(block: Block, counts: np.ndarray, n: float, v: int, order: int, keep: np.ndarray | slice):
@@ -262,20 +338,21 @@ def _score(batches, order: int, n: int, v: int, weights: np.ndarray):
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def score_documents(docs: DataFrame, *, order: int = ORDER, folds: int = 10, block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, order: int = ORDER, folds: int = 10, block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES, fan_out: int = FAN_OUT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows outside fold 0 and score every row."""
     session(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(id_col, folds).alias("r"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = materialise(rows.mapInArrow(lambda it: _blocks(it, block_tokens), BLOCK_SCHEMA), "blocks")
-    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
-    n_shards = max(1, -(-size * order // (2 * shard_entries)))
-    dealt = blocks.mapInArrow(lambda it: _deal(it, order, n_shards), "shard int, block long, keys binary, train binary, deleted binary")
-    totals = materialise(dealt.groupBy("shard").applyInArrow(_total, "block long, shard int, train binary, deleted binary, n_tokens long, n_words long"), "totals")
-    corpus = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("v")).first()
+    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
+    sizes = _shard_levels(max(1, -(-size["n"] * order // (2 * shard_entries))), fan_out)
+    dealt = blocks.mapInArrow(lambda it: _deal(it, order, sizes[0]), PIECE)
+    # blocks of a run: their pieces of one range are about a shard's entries
+    group = max(2, 2 * shard_entries * sizes[0] // (block_tokens * order))
+    totals, corpus = _add_up(dealt, sizes, size["blocks"], group)
     n, v = corpus["n"], corpus["v"]
     n_deleted = _deleted_tokens(blocks)
     joined = materialise(
-        blocks.groupBy("block").cogroup(totals.where("block is not null").groupBy("block")).applyInArrow(
+        blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
             lambda a, b: _join(a, b, order, n, n_deleted, v), BLOCK_SCHEMA + ", totals binary, wide boolean, held binary, many binary"
         ),
         "joined",

@@ -43,13 +43,24 @@ def test_base_scores_and_block_sizes(spark):
     for k, ws in tokens.items():
         assert one[k]["n_tokens"] == len(ws) and one[k]["train_tokens"] == n and one[k]["n_known"] == sum(w in seen for w in ws)
         assert one[k]["base_score"] == pytest.approx(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
-    many = language_model.score_documents(d.repartition(7), block_tokens=3000, shard_entries=2000).collect()
-    for r in many:
-        assert r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=1e-6)
+    for fan_out in (256, 3):  # one level of shards, and several
+        many = language_model.score_documents(d.repartition(7), block_tokens=3000, shard_entries=2000, fan_out=fan_out).collect()
+        assert len(many) == len(one)
+        for r in many:
+            assert r["n_known"] == one[r["doc_id"]]["n_known"] and r["train_tokens"] == n
+            assert r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=1e-6)
     held = [r for r in one.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_shards_in_levels():
+    for n, fan_out, sizes in ((1, 256, [1]), (224, 256, [224]), (257, 256, [17, 289]), (20, 3, [3, 9, 27])):
+        assert language_model._shard_levels(n, fan_out) == sizes
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64))
+    of = lambda m: np.concatenate([[s] * (b - a) for s, a, b in language_model._ranges(keys, m)])
+    assert (of(9 * 5) // 5 == of(9)).all()
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_model_against_brute_force(spark, order):
     rng = random.Random(4)
