@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests) a temporary folder is set.
+    Where a local session has none (tests) a temporary folder is set; on a cluster, where executors wouldn't see one, that
+    is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_loamgrid_dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = spark._loamgrid_dir = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
     return path.rstrip("/")
 
