@@ -54,7 +54,7 @@ def _(t):
 
 @query("num_mcmc", "SELECT c AS chain, s AS step, true AS finite FROM range(3) a(c), range(15) b(s)")
 def _(t):
-    return Q.mcmc(coarse(t), ["a"], goals(t), observed(t), TRUE, chains=3, steps=15, scale=50.0).select("chain", "step", (F.col("sse") >= 0).alias("finite"))
+    return Q.mcmc(coarse(t), ["a"], goals(t), observed(t), TRUE, chains=3, steps=15, scale=50.0, outcome=True)
 
 
 def hood(t):
