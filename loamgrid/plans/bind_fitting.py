@@ -36,14 +36,20 @@ def model_edges(t):
     return N.generator(coarse(t), ["a"], beta=TRUE[0], gamma=TRUE[1:3], delta=TRUE[3:])
 
 
+def every_time(t):
+    """The times of all cells."""
+    return K.hitting_times(model_edges(t), goals(t)).where("ht > 0")
+
+
 def observed(t):
-    return K.hitting_times(model_edges(t), goals(t)).where("ht > 0").join(coarse(t).where("col % 4 = 2").select("cell"), "cell", "left_semi")
+    """The times at the stations, columns four apart."""
+    return every_time(t).join(coarse(t).where("col % 4 = 2").select("cell"), "cell", "left_semi")
 
 
 #: The fit recovers the parameters that the observations were made with.
 @query("num_fit_trust", "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS k, unnest([" + ", ".join(map(str, TRUE)) + "]::DOUBLE[]) AS p")
 def _(t):
-    last = Q.fit_trust(coarse(t), ["a"], goals(t), observed(t), [0.0, 0.0, 0.0, 0.0, 0.0]).orderBy(F.desc("round")).limit(1)
+    last = Q.fit_trust(coarse(t), ["a"], goals(t), every_time(t), [0.0, 0.0, 0.0, 0.0, 0.0]).orderBy(F.desc("round")).limit(1)
     return last.select(F.posexplode(F.array(*[R(f"p{k}", 3) for k in range(5)])).alias("k", "p")).select(F.col("k").cast("long").alias("k"), "p")
 
 
