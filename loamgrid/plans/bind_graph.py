@@ -88,11 +88,6 @@ def _(t):
     return N.commute_objective(h, obs, 3.0).select(R(F.col("objective") / 1e6, 2).alias("objective"), "n")
 
 
-@query("num_colinearity", P + " SELECT count(*) AS n, round(covar_samp(x, y), 6) AS xy, round(covar_samp(x, nation), 6) AS xn, round(covar_samp(y, nation), 6) AS yn FROM s")
-def _(t):
-    return places(t).agg(F.count("*").alias("n"), R(F.covar_samp("x", "y")).alias("xy"), R(F.covar_samp("x", "nation")).alias("xn"), R(F.covar_samp("y", "nation")).alias("yn"))
-
-
 @query("num_hit_first", P + ", h AS (SELECT a.id AS target, b.id AS cell, (abs(a.v - b.v) + abs(a.id - b.id))::DOUBLE AS h FROM s a, s b) SELECT j.cell, round((k.h + jk.h - j.h) / (kj.h + jk.h), 9) AS p FROM h j JOIN h k ON k.cell = j.cell AND k.target = 2, h jk, h kj WHERE j.target = 1 AND jk.target = 1 AND jk.cell = 2 AND kj.target = 2 AND kj.cell = 1")
 def _(t):
     m = J.to_symmetric(pairs(t))
