@@ -115,10 +115,21 @@ def flag_outliers(df: DataFrame, value: str, by: list[str], limit: float = 2.0)
     return out.withColumn("outlier", F.abs(F.col(value) - F.col("__med")) > limit * 1.4826 * F.col("__mad")).drop("__med", "__mad")
 
 
+def ranked(df: DataFrame, *order, out: str = "place") -> DataFrame:
+    """The table with each row's place, from 1, in an order without ties.
+
+    Rows are dealt by ranges of the order to many tasks and written; a task numbers its own and adds the counts of those before.
+    """
+    dealt = materialise(df.repartitionByRange(*order).withColumn("__task", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    sizes = dealt.groupBy("__task").agg(F.count("*").alias("__n")).select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__task").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(sizes), "__task").withColumn(out, F.col("__own") + F.col("__before")).drop("__task", "__own", "__before")
+
+
 def first_level(df: DataFrame, key: str, order: str) -> DataFrame:
     """Level number of each key by first appearance."""
-    firsts = df.groupBy(key).agg(F.min(order).alias("first"))
-    return firsts.withColumn("level", F.row_number().over(Window.orderBy("first", key)))
+    return ranked(df.groupBy(key).agg(F.min(order).alias("first")), "first", key, out="level")
 
 
 def replace_in_fields(df: DataFrame, fields, old: str, new: str) -> DataFrame:

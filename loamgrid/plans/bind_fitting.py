@@ -46,11 +46,18 @@ def observed(t):
     return every_time(t).join(coarse(t).where("col % 4 = 2").select("cell"), "cell", "left_semi")
 
 
+RECOVERED = "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS k, unnest([" + ", ".join(map(str, TRUE)) + "]::DOUBLE[]) AS p"
+
+
+def fitted(rounds):
+    last = rounds.orderBy(F.desc("round")).limit(1)
+    return last.select(F.posexplode(F.array(*[R(f"p{k}", 3) for k in range(5)])).alias("k", "p")).select(F.col("k").cast("long").alias("k"), "p")
+
+
 #: The fit recovers the parameters that the observations were made with.
-@query("num_fit_trust", "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS k, unnest([" + ", ".join(map(str, TRUE)) + "]::DOUBLE[]) AS p")
+@query("num_fit_trust", RECOVERED)
 def _(t):
-    last = Q.fit_trust(coarse(t), ["a"], goals(t), every_time(t), [0.0, 0.0, 0.0, 0.0, 0.0]).orderBy(F.desc("round")).limit(1)
-    return last.select(F.posexplode(F.array(*[R(f"p{k}", 3) for k in range(5)])).alias("k", "p")).select(F.col("k").cast("long").alias("k"), "p")
+    return fitted(Q.fit_trust(coarse(t), ["a"], goals(t), every_time(t), [0.0, 0.0, 0.0, 0.0, 0.0]))
 
 
 @query("num_fit_alternating")

@@ -292,7 +292,7 @@ def _(t):
 @query("srt_multi", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey DESC, CAST(regexp_extract(s_name, '(\\d+)', 1) AS BIGINT)) AS place FROM supplier")
 def _(t):
     number = F.regexp_extract("s_name", r"(\d+)", 1).cast("long")
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_nationkey"), number)).cast("long").alias("place"))
+    return J.ranked(t.supplier.select("s_suppkey", "s_nationkey", number.alias("number")), F.desc("s_nationkey"), "number").select("s_suppkey", "place")
 
 
 @query("srt_topk", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
@@ -393,12 +393,12 @@ def _(t):
 
 @query("win_order_perm", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey)::BIGINT AS rank FROM supplier")
 def _(t):
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")).cast("long").alias("rank"))
+    return J.ranked(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey", out="rank").drop("s_acctbal")
 
 
 @query("win_dense_unique_level", "SELECT event_type, min(event_id) AS first, row_number() OVER (ORDER BY min(event_id))::BIGINT AS level FROM events GROUP BY event_type")
 def _(t):
-    return J.first_level(t.events, "event_type", "event_id").withColumn("level", F.col("level").cast("long"))
+    return J.first_level(t.events, "event_type", "event_id")
 
 
 # pair projections

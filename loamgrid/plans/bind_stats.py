@@ -169,7 +169,7 @@ def _(t):
 def _(t):
     p = t.orders.groupBy(F.col("o_orderpriority").alias("run")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0).toDF("run", "f", "o", "p")
     best = t.orders.groupBy(F.col("o_orderpriority").alias("run")).agg(F.min("o_totalprice").alias("best"))
-    return p.join(best, "run").withColumn("place", F.row_number().over(Window.orderBy("best")).cast("long")).drop("best")
+    return J.ranked(p.join(best, "run"), "best", "run").drop("best")
 
 
 @query("agg_run_rmse", "SELECT o_orderpriority AS run, round(sqrt(max(o_totalprice)) / (count(*) * (count(*) - 1.0::DOUBLE)), 12) AS rmse FROM orders GROUP BY 1")

@@ -202,3 +202,13 @@ def test_every_cell_walks(spark):
             where[paths[w][s]].append(w)
     assert {(r["walker"], r["cell"]): r["step"] for r in bindings.QUERIES["num_walk_hits"](spark, sf).collect()} == hits
     assert {(r["walker1"], r["walker2"]): r["step"] for r in bindings.QUERIES["num_walk_coalescence"](spark, sf).collect()} == meet
+
+
+def test_ranked(spark):
+    from loamgrid.operators.relations import ranked
+
+    rows = [(k, k % 7) for k in range(500)] + [(None, 3)]
+    got = {(r["id"], r["g"]): r["place"] for r in ranked(spark.createDataFrame(rows, "id long, g long"), F.desc("g"), "id").collect()}
+    want = sorted(rows, key=lambda r: (-r[1], -1 if r[0] is None else r[0]))
+    assert got == {r: k + 1 for k, r in enumerate(want)}
+    assert ranked(spark.createDataFrame([], "id long"), "id").count() == 0
