@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts, warc
+from . import decontamination, hard_negatives, html_extract, language_id, language_model, minhash_dedup, packing, phrases, quality_pu, quality_rules, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,20 @@ def op10_warc_index(spark, sf_dir):
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark, sf_dir):
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_packing": op2_packing,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extract": op9_html_extract,
     "op10_warc_index": op10_warc_index,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_dedup": minhash_dedup.oracle(4, 80),
     "op8_decontamination": decontamination.oracle(),
     "op10_warc_index": warc.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
+    "op12_collocations": phrases.oracle(),
 }
