@@ -62,22 +62,6 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, *, a_cols=("a_id"
     return left.join(right, "__sq").withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(ai, bi, "d2")
 
 
-def nearest(a: DataFrame, b: DataFrame, start: float, *, a_cols=("a_id", "ax", "ay"), b_cols=("b_id", "bx", "by"), rounds: int = 40) -> DataFrame:
-    """The nearest b of each a (least id among equals): the search radius doubles for those not yet served."""
-    if not b.take(1):
-        return a.select(a_cols[0], F.lit(None).cast(b.schema[b_cols[0]].dataType).alias(b_cols[0]), F.lit(None).cast("double").alias("d2"))
-    left, radius, done = a, start, []
-    for _ in range(rounds):
-        found = within_distance(left, b, radius, a_cols=a_cols, b_cols=b_cols).groupBy(a_cols[0]).agg(F.min(F.struct(F.col("d2").cast("double").alias("d2"), F.col(b_cols[0]).alias("b"))).alias("m"))
-        found = materialise(found.select(a_cols[0], F.col("m.b").alias(b_cols[0]), F.col("m.d2").alias("d2")), "nearest")
-        done.append(found)
-        left = materialise(left.join(found, a_cols[0], "left_anti"), "unserved")
-        if not left.take(1):
-            break
-        radius *= 2
-    return reduce(DataFrame.unionByName, done)
-
-
 def points_in_polygons(points: DataFrame, edges: DataFrame, *, band: float = 1.0) -> DataFrame:
     """``id, polygon`` for each polygon that holds a point (even-odd rule); ``edges``: polygon, x1, y1, x2, y2.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .knn import k_nearest
 from .relations import within_distance
 
 
@@ -33,7 +34,25 @@ def local_surface(points: DataFrame, at: DataFrame, radius: float) -> DataFrame:
     Tricube weights; where the points lie on a line or on one spot their weighted mean; places without a point have no row.
     """
     near = within_distance(at, points, radius).where(F.col("d2") < radius * radius).join(at, "a_id").join(points.where("z is not null"), "b_id")
-    u = F.pow(F.col("d2") / (radius * radius), 1.5)
+    return _planes(near, F.lit(float(radius * radius)))
+
+
+def loess(points: DataFrame, at: DataFrame, share: float) -> DataFrame:
+    """``a_id, z``: like ``local_surface``, each plane fitted to the nearest ``share`` of the points; the furthest of them has no weight.
+
+    At least one point; those of a place that all lie as far away as the furthest count alike.
+    """
+    there = points.where("z is not null")
+    k = max(1, int(there.count() * share + 1e-5))
+    near = k_nearest(at, there, k)
+    reach = near.groupBy("a_id").agg(F.max("d2").alias("reach"), F.min("d2").alias("least"))
+    near = near.join(reach, "a_id").where("d2 < reach or least = reach").join(at, "a_id").join(there, "b_id")
+    return _planes(near.withColumn("d2", F.when(F.col("least") == F.col("reach"), 0.0).otherwise(F.col("d2"))), F.greatest("reach", F.lit(1e-300)))
+
+
+def _planes(near: DataFrame, reach2) -> DataFrame:
+    """``a_id, z`` of planes fitted to the points near each place, with tricube weights up to a squared distance."""
+    u = F.pow(F.col("d2") / reach2, 1.5)
     w, x, y = F.pow(1 - u, 3), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = near.select("a_id", "z", w.alias("w"), x.alias("x"), y.alias("y"))
     s = lambda name, e: F.sum(F.col("w") * e).alias(name)

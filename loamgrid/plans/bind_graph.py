@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import dissection as S
 from ..operators import graph as N
 from ..operators import kernels as K
 from ..operators import relations as J
@@ -146,7 +147,7 @@ REACHED = """, r(target, cell) AS (SELECT target, cell FROM t WHERE cell IN (SEL
 
 @query("num_hit_analytic", "WITH RECURSIVE " + EDGES + TARGETS + REACHED)
 def _(t):
-    return N.solved(edges(t), K.hitting_times(edges(t), targets(t)), targets(t))
+    return N.solved(edges(t), S.hitting_times_tiled(edges(t), targets(t), cells(t)), targets(t))
 
 
 BLOCKED = EDGES.replace(", e AS (", ", e0 AS (") + ", e AS (SELECT * FROM e0 WHERE j NOT IN (SELECT cell FROM b WHERE b > 1.4))"
@@ -155,7 +156,7 @@ BLOCKED = EDGES.replace(", e AS (", ", e0 AS (") + ", e AS (SELECT * FROM e0 WHE
 @query("num_hit_blocked_analytic", "WITH RECURSIVE " + BLOCKED + TARGETS.replace("b.col = 20", "b.col = 20 AND b.b <= 1.4") + REACHED.replace("r.cell = c.cell)", "r.cell = c.cell AND c.cell NOT IN (SELECT cell FROM b WHERE b > 1.4))"))
 def _(t):
     stop = cells(t).where("b > 1.4")
-    return N.solved(N.drop_into(edges(t), stop), K.hitting_times(edges(t), targets(t), stop), targets(t))
+    return N.solved(N.drop_into(edges(t), stop), S.hitting_times_tiled(edges(t), targets(t), cells(t), stop), targets(t))
 
 
 @query("num_sensitivity", "WITH RECURSIVE " + EDGES + TARGETS + REACHED.replace("true AS solved", "true AS solved, true AS gradient"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import knn
 from ..operators import relations as J
 from ..operators import stats as S
 from .domain import COUNTS, GRID, PAIRS, PLACES, counts, grid, pairs, places
@@ -173,7 +174,12 @@ def _(t):
 
 @query("jn_nearest", POINTS + " SELECT cell, arg_min(id, (d2, id)) AS id, min(d2)::DOUBLE AS d2 FROM (SELECT g.cell, s.id, (col - x) * (col - x) + (row - y) * (row - y) AS d2 FROM s CROSS JOIN g) GROUP BY cell")
 def _(t):
-    return J.nearest(grid(t).select("cell", "col", "row"), points(t), 4.0, a_cols=("cell", "col", "row"), b_cols=("id", "x", "y"))
+    return knn.nearest(grid(t).select("cell", "col", "row"), points(t), a_cols=("cell", "col", "row"), b_cols=("id", "x", "y"))
+
+
+@query("jn_k_nearest", POINTS + " SELECT * FROM (SELECT cell, id, d2::DOUBLE AS d2, row_number() OVER (PARTITION BY cell ORDER BY d2, id) AS place FROM (SELECT g.cell, s.id, (col - x) * (col - x) + (row - y) * (row - y) AS d2 FROM s CROSS JOIN g)) WHERE place <= 5")
+def _(t):
+    return knn.k_nearest(grid(t).select("cell", "col", "row"), points(t), 5, a_cols=("cell", "col", "row"), b_cols=("id", "x", "y")).select("cell", "id", "d2", "place")
 
 
 POLY = ", v AS (SELECT n_nationkey AS polygon, n_nationkey % 5 * 10 + 0.25 AS cx, n_nationkey // 5 * 8 + 0.25 AS cy FROM nation), e AS (SELECT polygon, cx AS x1, cy AS y1, cx + 9 AS x2, cy AS y2 FROM v UNION ALL SELECT polygon, cx + 9, cy, cx + 4.5, cy + 7 FROM v UNION ALL SELECT polygon, cx + 4.5, cy + 7, cx, cy FROM v)"

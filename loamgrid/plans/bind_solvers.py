@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as N
 from ..operators import kernels as K
+from ..operators import kriging as Y
 from ..operators import shapes as H
 from ..operators import solvers as L
 from ..sources import files as E
 from ..sources import fixtures
-from ..sources.scratch import new_path
+from ..sources.scratch import materialise, new_path
 from .bind_fitting import COARSE, TRUE, coarse, goals, model_edges
 from .bind_graph import REACHED, edges, targets
 from .domain import GRID, PAIRS, grid, places
@@ -72,6 +73,60 @@ def _(t):
     return H.local_surface(known, g.where("l2 is null").select(F.col("cell").alias("a_id"), F.col("col").alias("ax"), F.col("row").alias("ay")), 4.5).select(F.col("a_id").alias("cell"), R("z").alias("z"))
 
 
+#: Stations of the suppliers on the raster.
+STATIONS = "WITH " + GRID + ", k AS (SELECT s_suppkey AS id, (s_suppkey % 10) * 5 AS x, (s_suppkey // 10) * 4 AS y, round(s_acctbal * 100)::BIGINT AS v FROM supplier)"
+NEAR = STATIONS + ", n AS (SELECT g.cell, k.id, k.x, k.y, k.v, (g.col - x) ** 2 + (g.row - y) ** 2 AS d2, row_number() OVER (PARTITION BY g.cell ORDER BY (g.col - x) ** 2 + (g.row - y) ** 2, k.id) AS place FROM g CROSS JOIN k)"
+WIDTH = 12.0
+
+
+def stations(t):
+    return places(t).select(F.col("id").alias("b_id"), (F.col("x") * 5.0).alias("bx"), (F.col("y") * 4.0).alias("by"), F.col("v").cast("double").alias("z"))
+
+
+def spots(t):
+    return grid(t).select(F.col("cell").alias("a_id"), F.col("col").cast("double").alias("ax"), F.col("row").cast("double").alias("ay"))
+
+
+#: Two neighbours have weights in closed form.
+@query("ras_krig_two", NEAR + f""" SELECT a.cell, round((w * a.v + (1 - w) * b.v) / 100, 4) AS z FROM (SELECT a.cell, a.id AS i, b.id AS j, 0.5 + (exp(-sqrt(a.d2) / {WIDTH}) - exp(-sqrt(b.d2) / {WIDTH})) / (2 * (1 - exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / {WIDTH}))) AS w
+ FROM n a JOIN n b ON a.cell = b.cell AND a.place = 1 AND b.place = 2) q JOIN n a ON a.cell = q.cell AND a.id = i JOIN n b ON b.cell = q.cell AND b.id = j""")
+def _(t):
+    z = Y.krige(stations(t), spots(t), neighbours=2, width=WIDTH)
+    return z.select(F.col("a_id").alias("cell"), R(F.col("z") / 100, 4).alias("z"))
+
+
+#: Kriging gives the stations' values back, and its weights solve their equations everywhere.
+@query("ras_krig", STATIONS + " SELECT g.cell, k.v::DOUBLE AS at_station, true AS solved FROM g LEFT JOIN k ON k.x = g.col AND k.y = g.row")
+def _(t):
+    known, at = stations(t), spots(t)
+    w = materialise(Y.kriging_weights(known, at, neighbours=12, width=WIDTH), "weights")
+    own = w.join(known, "b_id").join(at, "a_id")
+    other = own.select("a_id", F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("weight").alias("other"))
+    like = lambda x1, y1, x2, y2: F.exp(-F.sqrt((F.col(x1) - F.col(x2)) * (F.col(x1) - F.col(x2)) + (F.col(y1) - F.col(y2)) * (F.col(y1) - F.col(y2))) / WIDTH)
+    off = own.join(other, "a_id").groupBy("a_id", "b_id").agg((F.sum(F.col("other") * like("bx", "by", "cx", "cy")) + F.first("penalty") - F.first(like("ax", "ay", "bx", "by"))).alias("off"))
+    ok = off.groupBy("a_id").agg((F.max(F.abs("off")) < 1e-9).alias("ok"))
+    z = own.groupBy("a_id").agg(F.sum(F.col("weight") * F.col("z")).alias("z"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("one"), F.max((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))).alias("there"))
+    return z.join(ok, "a_id").select(F.col("a_id").alias("cell"), F.when(F.col("there"), R("z", 4)).alias("at_station"), (F.col("ok") & F.col("one")).alias("solved"))
+
+
+@query("ras_variogram", STATIONS + " SELECT bin, count(*) AS n, round(avg(d), 9) AS distance, round(avg((v1 - v2) ** 2) / 2e6, 4) AS gamma FROM (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, floor(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 3.0)::BIGINT AS bin, a.v AS v1, b.v AS v2 FROM k a JOIN k b ON a.id < b.id) WHERE bin < 8 GROUP BY bin")
+def _(t):
+    p = stations(t).select(F.col("b_id").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"), "z")
+    return Y.variogram(p, 3.0, 8).select("bin", "n", R("distance", 9).alias("distance"), R(F.col("gamma") / 1e6, 4).alias("gamma"))
+
+
+SHARE = 0.3
+TRICUBE = "power(1 - power(d2 / reach, 1.5), 3)"
+SUMS = ", ".join(f"sum(w * {e}) AS {n}" for n, e in (("n", "1"), ("sx", "x"), ("sy", "y"), ("xx", "x * x"), ("xy", "x * y"), ("yy", "y * y"), ("z", "v"), ("xz", "x * v"), ("yz", "y * v")))
+
+
+@query("ras_loess_share", NEAR + f""", k2 AS (SELECT greatest(1, floor(count(*) * {SHARE} + 1e-5)) AS k FROM k), r AS (SELECT cell, max(d2) AS reach FROM n, k2 WHERE place <= k GROUP BY cell),
+ w AS (SELECT n.cell, {TRICUBE} AS w, n.x - g.col AS x, n.y - g.row AS y, n.v::DOUBLE AS v FROM n JOIN r ON n.cell = r.cell JOIN g ON g.cell = n.cell, k2 WHERE place <= k AND d2 < reach), m AS (SELECT cell, {SUMS} FROM w GROUP BY cell)
+ SELECT cell, round((z * (xx * yy - xy * xy) - xz * (sx * yy - sy * xy) + yz * (sx * xy - sy * xx)) / (n * (xx * yy - xy * xy) - sx * (sx * yy - sy * xy) + sy * (sx * xy - sy * xx)) / 100, 4) AS z FROM m""")
+def _(t):
+    return H.loess(stations(t), spots(t), SHARE).select(F.col("a_id").alias("cell"), R(F.col("z") / 100, 4).alias("z"))
+
+
 # files
 
 

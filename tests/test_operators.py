@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import counts, graph, kernels, raster, relations, sampling, stats
+from loamgrid.operators import counts, graph, kernels, knn, raster, relations, sampling, stats
 from loamgrid.operators.components import connected_components
 from loamgrid.sources import fixtures, readers
 from loamgrid.sources.scratch import new_path
@@ -65,7 +65,7 @@ def test_components_of_a_long_chain(spark):
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(3)
     a, b = rng.uniform(0, 100, (40, 2)), rng.uniform(0, 100, (7, 2))
-    got = {r["i"]: r["j"] for r in relations.nearest(spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(a)], "i long, x double, y double"), spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(b)], "j long, u double, v double"), 1.0, a_cols=("i", "x", "y"), b_cols=("j", "u", "v")).collect()}
+    got = {r["i"]: r["j"] for r in knn.nearest(spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(a)], "i long, x double, y double"), spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(b)], "j long, u double, v double"), a_cols=("i", "x", "y"), b_cols=("j", "u", "v")).collect()}
     assert got == {k: int(((b - p) ** 2).sum(1).argmin()) for k, p in enumerate(a)}
 
 
