@@ -10,8 +10,10 @@ both and a window's gain, ordinary less toxic length in bytes, tells toxic wordi
 
 A text is cut into windows of ``WINDOW`` bytes at every ``STEP``. How many windows
 reach each gain threshold, in all and as a share, is weighed by a logistic function.
-Dictionaries come from one half of the sample, the thresholds' weights from the
-other, so a gain isn't that of texts the dictionaries were made of.
+The weights are learned from halves of the sample, each with dictionaries of the
+other half, so no gain is that of texts the dictionaries were made of; scores use
+the dictionaries of the whole sample. A run of zero bytes ends each window, so that
+all are compressed and a single match of five bytes counts.
 
 The sample takes whole texts in the order of a hash of their ids, about
 ``TOXIC_BYTES`` and ``ORDINARY_BYTES`` of them (documented bounds; one text more at
@@ -30,6 +32,7 @@ names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import pickle
 import random
 import uuid
 
@@ -45,8 +48,9 @@ from .common import fold, materialise, session, unit_hash, whole_row, worker_mem
 TOXIC_BYTES, ORDINARY_BYTES = 6_000_000, 14_000_000
 #: Rows of labels that are looked at for the sample, of each class, about.
 LABELS = 20_000
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 2048, 4096
+TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 2048, 16384
 WINDOW, STEP = 64, 48
+FILL = b"\0" * 32
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 7)
 THRESHOLD = 0.3
 GRAM, SIDE = 5, 8
@@ -92,30 +96,35 @@ def grams_by_surroundings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(codes)[first], return_counts=True)
 
 
-def typical_grams(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Grams of toxic texts that are rare in ordinary ones."""
+def typical_grams(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, int]:
+    """Grams of toxic texts that are rare in ordinary ones, with the number of their surroundings."""
     (gt, ct), (go, co) = grams_by_surroundings(toxic), grams_by_surroundings(ordinary)
     if not len(gt) or not len(go):
-        return set()
+        return {}
     at = np.minimum(np.searchsorted(go, gt), len(go) - 1)
     other = np.where(go[at] == gt, co[at], 0)
     nt, no = ct.sum(), co.sum()
     z = (ct / nt - other / no) / np.sqrt((ct + other) / (nt + no) * (1 / nt + 1 / no))
     rate = ((ct + 0.5) / nt) / ((other + 0.5) / no)
-    return {int(g).to_bytes(GRAM, "big") for g in gt[(rate >= RATIO) & (z >= DEVIATIONS)]}
+    typical = (rate >= RATIO) & (z >= DEVIATIONS)
+    return {int(g).to_bytes(GRAM, "big"): int(n) for g, n in zip(gt[typical], ct[typical])}
 
 
-def typical_spans(texts: list[bytes], grams: set[bytes]) -> list[bytes]:
-    """The runs of texts that such grams cover, with at most two bytes between their starts."""
+def typical_spans(texts: list[bytes], grams: dict[bytes, int]) -> list[bytes]:
+    """The runs of texts that such grams cover, with at most two bytes between their starts, from the first to the last gram
+    that is at least half as frequent as the run's most frequent: what else is there are words that happen to be near.
+    """
     spans = []
     for b in texts:
-        hits = [i for i in range(len(b) - GRAM + 1) if b[i : i + GRAM] in grams]
+        hits = [(i, n) for i in range(len(b) - GRAM + 1) if (n := grams.get(b[i : i + GRAM]))]
         i = 0
         while i < len(hits):
             j = i
-            while j + 1 < len(hits) and hits[j + 1] <= hits[j] + 2:
+            while j + 1 < len(hits) and hits[j + 1][0] <= hits[j][0] + 2:
                 j += 1
-            spans.append(b[hits[i] : hits[j] + GRAM])
+            most = max(n for _, n in hits[i : j + 1])
+            often = [at for at, n in hits[i : j + 1] if 2 * n >= most]
+            spans.append(b[often[0] : often[-1] + GRAM])
             i = j + 1
     return spans
 
@@ -143,7 +152,7 @@ class Distance:
     """Gains of windows and a text's features."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = compressor(ordinary).compress, compressor(ordinary + toxic).compress
+        self.ordinary, self.toxic = compressor(ordinary).compress, compressor(toxic + ordinary).compress
 
     def reached(self, text: bytes) -> tuple[np.ndarray, int]:
         """Number of windows that reach each threshold, and of all windows."""
@@ -151,7 +160,7 @@ class Distance:
         total = np.zeros(len(THRESHOLDS))
         plain, toxic = self.ordinary, self.toxic
         for at in range(0, n, PIECE):
-            windows = [text[i : i + WINDOW] for i in range(at * STEP, min(n, at + PIECE) * STEP, STEP)]
+            windows = [text[i : i + WINDOW] + FILL for i in range(at * STEP, min(n, at + PIECE) * STEP, STEP)]
             gains = np.array([len(plain(w)) - len(toxic(w)) for w in windows])
             total += (gains[:, None] >= np.array(THRESHOLDS)).sum(0)
         return total, n
@@ -176,22 +185,33 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float, *, rounds: int = 100,
     return mean, scale, w[:-1], float(w[-1] + odds(prior) - odds(y.mean()))
 
 
-def _prepared(rows: list[tuple[str, int]], prior: float):
-    """The model of a sample in a fixed order: dictionaries from every other text of a class, weights from the rest."""
-    each = {y: [normal(t) for t, k in rows if k == y] for y in (1, 0)}
-    first, second = {y: v[::2] for y, v in each.items()}, {y: v[1::2] for y, v in each.items()}
-    if not second[1] or not second[0]:
-        return None
-    spans = typical_spans(first[1], typical_grams(first[1], first[0]))
+def dictionaries(texts: dict[int, list[bytes]]) -> tuple[bytes, bytes] | None:
+    """The ordinary and the toxic dictionary of some texts by label."""
+    spans = typical_spans(texts[1], typical_grams(texts[1], texts[0]))
     if not spans:
         return None
     random.Random(1).shuffle(spans)
-    toxic = train_dictionary(TOXIC_DICTIONARY, [b"".join(spans[i : i + 8]) for i in range(0, len(spans), 8)])
-    ordinary = train_dictionary(ORDINARY_DICTIONARY, [b[i : i + 512] for b in first[0] for i in range(0, len(b), 512)])
-    distance = Distance(ordinary, toxic)
-    x = np.array([distance.features(t) for y in (1, 0) for t in second[y]])
-    y = np.repeat([1.0, 0.0], [len(second[1]), len(second[0])])
-    return ordinary, toxic, calibrate(x, y, prior)
+    ordinary = train_dictionary(ORDINARY_DICTIONARY, [b[i : i + 512] for b in texts[0] for i in range(0, len(b), 512)])
+    return ordinary, train_dictionary(TOXIC_DICTIONARY, [b"".join(spans[i : i + 8]) for i in range(0, len(spans), 8)])
+
+
+def _prepared(rows: list[tuple[str, int]], prior: float):
+    """The model of a sample in a fixed order; None without wording. Weights are learned on halves, with dictionaries of the other half."""
+    each = {y: [normal(t) for t, k in rows if k == y] for y in (1, 0)}
+    halves = [{y: v[k::2] for y, v in each.items()} for k in (0, 1)]
+    x, y = [], []
+    for own, other in (halves, halves[::-1]):
+        both = dictionaries(own)
+        if both is None:
+            continue
+        distance = Distance(*both)
+        for k in (1, 0):
+            x += [distance.features(t) for t in other[k]]
+            y += [float(k)] * len(other[k])
+    both = dictionaries(each)
+    if both is None or len(set(y)) < 2:
+        return None
+    return *both, calibrate(np.array(x), np.array(y), prior)
 
 
 def fit(train: DataFrame, labels: DataFrame, *, toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES, sample: int = LABELS):
@@ -219,8 +239,15 @@ def fit(train: DataFrame, labels: DataFrame, *, toxic_bytes: int = TOXIC_BYTES,
             chosen.append(r[1])
             room -= r[3]
     ids = train.sparkSession.createDataFrame([(i,) for i in chosen], "chosen long")
-    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("chosen")).orderBy("place", "id").select("text", "toxic").collect()
-    return _prepared([(r["text"], r["toxic"]) for r in rows], prior), float(prior)
+
+    def learn(key, rows):
+        rows = rows.sort_by([("place", "ascending"), ("id", "ascending")])
+        model = _prepared(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())), prior)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # one task: the sample is bounded
+    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("chosen")).select(F.lit(1).alias("all"), "place", "id", "text", "toxic")
+    return pickle.loads(rows.groupBy("all").applyInArrow(learn, "model binary").first()["model"]), float(prior)
 
 
 def predict(docs: DataFrame, model, prior: float, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
