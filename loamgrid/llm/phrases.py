@@ -15,9 +15,11 @@ at most; where more words make all buckets full, the pruning gets weaker and the
 counts stay the same. Bitmaps only leave out phrases that can't be frequent, what
 is left is counted by its words, so all counts are exact.
 
-A block sends one row for each phrase it counts, and for each slice of the buckets
-one row with the buckets it saw; bucket counts stop at the minimum. So no row moves
-for a word, a frequent phrase is one row a block, and slices are of one size.
+Phrases and buckets are dealt to slices by hash. A block sends one row to a slice:
+the different phrases it counted there and the buckets it saw there, whose counts
+stop at the minimum. A slice adds its rows up one by one. So no row moves for a
+word or a phrase, no phrase is hot, and the rows are blocks times slices; there are
+2**16 slices at most.
 
 Cases: a null text is empty, a null language is ``und``; a text without words has
 no phrase; repeated rows count again; a very long text is spread over blocks by
@@ -43,7 +45,7 @@ LONGEST = 5
 MINIMUM = 100
 TOP = 2000
 #: Words of a block, about.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 5_000_000
 #: Exponents of the number of buckets.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Rows of counts, and of languages, that are broadcast at most.
@@ -55,13 +57,27 @@ PARTS = 32
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
 BLOCK_SCHEMA = "n_words long, langs array<string>, totals array<long>, word_langs binary, words binary, ids binary"
-PASS_SCHEMA = "slice int, lang string, phrase binary, hash long, n long, places binary, many binary"
+SLICE_SCHEMA = "slice int, phrases binary, counts binary, steps binary, many binary"
+FOUND_SCHEMA = "slice int, bits binary, lang string, phrase string, f long, hash long"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
 
+def _squeeze_planes(a: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, which compress apart from each other."""
+    return _squeeze(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _expand_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_expand(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _squeeze_bytes(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
 def _expand(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
@@ -91,9 +107,8 @@ class _Coder:
         return self.langs[lang]
 
     def row(self) -> pa.RecordBatch:
-        planes = np.frombuffer(self.ids, np.uint32).view(np.uint8).reshape(-1, 4).T
-        joined = zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.words))
-        cols = [[self.n_words], [list(self.langs)], [self.totals], [_squeeze(np.frombuffer(self.word_langs, np.uint32))], [joined], [_squeeze(planes)]]
+        joined = _squeeze_bytes(b"\n".join(self.words))
+        cols = [[self.n_words], [list(self.langs)], [self.totals], [_squeeze(np.frombuffer(self.word_langs, np.uint32))], [joined], [_squeeze_planes(np.frombuffer(self.ids, np.uint32))]]
         types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
@@ -135,12 +150,11 @@ class _Block:
     """A block's words and the hashes of its phrases of each length."""
 
     def __init__(self, r: dict):
-        self.langs = r["langs"]
         self.word_langs = _expand(r["word_langs"], np.uint32)
         self.words = zstandard.ZstdDecompressor().decompress(r["words"]).split(b"\n")
-        self.ids = np.ascontiguousarray(_expand(r["ids"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        names = [x.encode("utf-8", "surrogatepass") + b"\n" for x in self.langs]
-        one = [0, *(xxhash.xxh3_64_intdigest(names[k] + w) for k, w in zip(self.word_langs, self.words))]
+        self.ids = _expand_planes(r["ids"])
+        self.names = [x.encode("utf-8", "surrogatepass").replace(b"%", b"%25").replace(b"\n", b"%0A") for x in r["langs"]]
+        one = [0, *(xxhash.xxh3_64_intdigest(self.names[k] + b"\n" + w) for k, w in zip(self.word_langs, self.words))]
         self.one = np.array(one, np.uint64)[self.ids]
 
     def phrases(self, k: int):
@@ -160,25 +174,24 @@ class _Block:
             _, first, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
         return places[first], n
 
-    def phrase(self, place: int, k: int) -> bytes:
-        return b" ".join([self.words[w - 1] for w in self.ids[place : place + k]])
+    def key(self, place: int, k: int) -> bytes:
+        """Language, a tab, and the words of a phrase; a word holds neither blank, tab nor line end."""
+        w = self.ids[place : place + k].tolist()
+        return self.names[self.word_langs[w[0] - 1]] + b"\t" + b" ".join([self.words[x - 1] for x in w])
 
 
 def _pass(batches, k: int, longest: int, minimum: int, n_buckets: int, n_slices: int, buckets, shorter):
-    """Rows of one pass; ``buckets``: bitmap of the frequent buckets of length k, ``shorter``: that of the frequent phrases of k - 1 words."""
-    names = [x.split()[0] for x in PASS_SCHEMA.split(", ")]
-    types = [pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    width = n_buckets // n_slices
-
-    def rows(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
+    """A block's row for each slice; ``buckets``: bitmap of the frequent buckets of length k, ``shorter``: that of the frequent phrases of k - 1 words."""
+    names = [x.split()[0] for x in SLICE_SCHEMA.split(", ")]
+    types = [pa.int32(), *[pa.binary()] * 4]
+    width = np.uint64(n_buckets // n_slices)
+    cut = lambda places: np.searchsorted(places, np.arange(n_slices + 1, dtype=np.uint64) * width)
     for b in batches:
         for r in b.to_pylist():
             block = _Block(r)
+            first, counts, at = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
             if k == 0:
-                counted = block.ids > 0
-                longer, next_ok = block.one, counted
+                longer, next_ok = block.one, block.ids > 0
             else:
                 (h, counted), (longer, next_ok) = block.phrases(k)
                 if k > 1:
@@ -187,35 +200,79 @@ def _pass(batches, k: int, longest: int, minimum: int, n_buckets: int, n_slices:
                     counted = counted & known[:-1] & known[1:]
                 counted = counted & _bits(buckets, h)
                 places = np.flatnonzero(counted)
-                first, n = block.distinct(places, h[places], k)
-                for at in range(0, len(first), 50_000):
-                    f = first[at : at + 50_000]
-                    langs = [block.langs[x] for x in block.word_langs[block.ids[f] - 1]]
-                    phrases = [block.phrase(p, k) for p in f.tolist()]
-                    none = [None] * len(f)
-                    yield rows([none, langs, phrases, h[f].view(np.int64), n[at : at + 50_000].astype(np.int64), none, none])
+                first, counts = block.distinct(places, h[places], k)
+                at = h[first] & np.uint64(n_buckets - 1)
+                order = np.argsort(at, kind="stable")
+                first, counts, at = first[order], counts[order], at[order]
                 next_ok = next_ok & counted[:-1] & counted[1:]
+            bucket, many = np.zeros(0, np.uint64), np.zeros(0, int)
             if k < longest:
                 bucket, many = np.unique(longer[next_ok] & np.uint64(n_buckets - 1), return_counts=True)
-                many = np.minimum(many, minimum).astype(np.uint32 if minimum > 255 else np.uint8)
-                cuts = np.searchsorted(bucket, np.arange(n_slices + 1, dtype=np.uint64) * np.uint64(width))
-                full = np.flatnonzero(np.diff(cuts))
-                for at in range(0, len(full), 64):
-                    s = full[at : at + 64]
-                    none = [None] * len(s)
-                    offsets = [(bucket[cuts[x] : cuts[x + 1]] - np.uint64(x * width)).astype(np.uint32).tobytes() for x in s]
-                    yield rows([s.astype(np.int32), none, none, none, none, offsets, [many[cuts[x] : cuts[x + 1]].tobytes() for x in s]])
-
-
-def _frequent_buckets(key, batches, minimum: int, width: int):
-    """The bitmap of a slice: its buckets that reach the minimum over all blocks."""
-    total = np.zeros(width, np.int64)
-    for b in batches:
-        for places, many in zip(b.column("places"), b.column("many")):
-            at = np.frombuffer(places.as_buffer(), np.uint32)
-            total[at] += np.frombuffer(many.as_buffer(), np.uint32 if minimum > 255 else np.uint8)  # each bucket once a row
-    bits = np.packbits(total >= minimum, bitorder="little").tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["slice", "bits"])
+                many = np.minimum(many, minimum).astype(_small(minimum))
+            own, next_own = cut(at), cut(bucket)
+            rows = []
+            for x in np.flatnonzero(np.diff(own) + np.diff(next_own)):
+                f, n = first[own[x] : own[x + 1]], counts[own[x] : own[x + 1]]
+                phrases = sorted((block.key(p, k), c) for p, c in zip(f.tolist(), n.tolist()))
+                steps = np.diff(bucket[next_own[x] : next_own[x + 1]], prepend=np.uint64(x) * width)
+                packed = _squeeze_bytes(b"\n".join([p for p, _ in phrases])) if phrases else None
+                rows.append((x, packed, _squeeze_planes(np.array([c for _, c in phrases])), _squeeze_planes(steps), _squeeze(many[next_own[x] : next_own[x + 1]])))
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _small(minimum: int):
+    return np.uint32 if minimum > 255 else np.uint8
+
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    """Hashes of phrases, equal to those that blocks give them."""
+    out, by_length = np.zeros(len(keys), np.uint64), {}
+    for i, key in enumerate(keys):
+        by_length.setdefault(key.count(b" "), []).append(i)
+    for k, places in by_length.items():
+        parts = [key.rsplit(b"\t", 1) for key in (keys[i] for i in places)]
+        words = np.array([[xxhash.xxh3_64_intdigest(lang + b"\n" + w) for w in phrase.split(b" ")] for lang, phrase in parts], np.uint64)
+        h = words[:, 0]
+        for j in range(1, k + 1):
+            h = _mix(h, words[:, j])
+        out[places] = h
+    return out
+
+
+def _merged(minimum: int, width: int):
+    from collections.abc import Iterator
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's frequent phrases, and the bitmap of its frequent buckets."""
+        total, sums = np.zeros(width, np.int64), {}
+        for b in batches:
+            for phrases, counts, steps, many in zip(b.column("phrases"), b.column("counts"), b.column("steps"), b.column("many")):
+                if phrases.is_valid:
+                    keys = zstandard.ZstdDecompressor().decompress(phrases.as_py()).split(b"\n")
+                    for p, n in zip(keys, _expand_planes(counts.as_py()).tolist()):
+                        sums[p] = sums.get(p, 0) + n
+                at = np.cumsum(_expand_planes(steps.as_py()).astype(np.int64))
+                total[at] += _expand(many.as_py(), _small(minimum))  # a bucket is once in a row
+        bits = np.packbits(total >= minimum, bitorder="little").tobytes()
+        slice_ = key[0].as_py()
+        schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64()), ("hash", pa.int64())])
+        one = [[slice_], [bits], [None], [None], [None], [None]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, schema)], schema=schema)
+        found = [p for p, n in sums.items() if n >= minimum]
+        for i in range(0, len(found), 20_000):
+            some = found[i : i + 20_000]
+            langs, phrases = zip(*(p.rsplit(b"\t", 1) for p in some))
+            text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+            none = [None] * len(some)
+            cols = [pa.array(none, pa.int32()), pa.array(none, pa.binary()), text([x.replace(b"%0A", b"\n").replace(b"%25", b"%") for x in langs]), text(list(phrases)), pa.array([sums[p] for p in some], pa.int64()), pa.array(_hashes(some).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    merge.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return merge
 
 
 def _power(n: float) -> int:
@@ -232,7 +289,7 @@ def count_phrases(docs: DataFrame, *, minimum: int = MINIMUM, longest: int = LON
     totals = materialise(each.where("n > 0"), "totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
     n_bits = min(max(_power(words / 4), least_bits), most_bits)
-    n_slices = 2 ** min(max(_power(words / 2**18), 4), 12, n_bits - 6)
+    n_slices = 2 ** min(max(_power(words / 2**20), 4), 16, n_bits - 6)
     n_buckets, width = 2**n_bits, 2**n_bits // n_slices
     steer, found = spark.sparkContext.broadcast((None, None)), []
     for k in range(longest + 1):
@@ -240,11 +297,11 @@ def count_phrases(docs: DataFrame, *, minimum: int = MINIMUM, longest: int = LON
         def step(it, k=k, steer=steer):
             return _pass(it, k, longest, minimum, n_buckets, n_slices, *steer.value)
 
-        made = materialise(blocks.mapInArrow(step, PASS_SCHEMA), f"pass{k}")
+        made = blocks.mapInArrow(step, SLICE_SCHEMA).groupBy("slice").applyInArrow(_merged(minimum, width), FOUND_SCHEMA)
+        made = materialise(made, f"pass{k}")
         shorter = None
         if k:
-            sums = made.where("slice is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash")).where(F.col("f") >= minimum)
-            found.append(materialise(sums.select("lang", F.lit(k).alias("k"), F.col("phrase").cast("string").alias("phrase"), "f", "hash"), f"phrases{k}"))
+            found.append(made.where("slice is null").select("lang", F.lit(k).alias("k"), "phrase", "f", "hash"))
             place = F.col("hash").bitwiseAND(n_buckets - 1) + 1  # such bitmaps count from 1
             bits = found[-1].groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
             shorter = np.zeros(max(n_buckets // 8, 4096), np.uint8)
@@ -253,8 +310,7 @@ def count_phrases(docs: DataFrame, *, minimum: int = MINIMUM, longest: int = LON
             shorter = shorter[: n_buckets // 8]
         if k < longest:
             bitmap = np.zeros(n_buckets // 8, np.uint8)
-            slices = made.where("slice is not null").select("slice", "places", "many").groupBy("slice").applyInArrow(_slices(minimum, width), "slice int, bits binary")
-            for r in slices.collect():  # bounded likewise
+            for r in made.where("slice is not null").select("slice", "bits").collect():  # bounded likewise
                 bitmap[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
             steer = spark.sparkContext.broadcast((bitmap, shorter))
     counts = found[0]
@@ -263,16 +319,6 @@ def count_phrases(docs: DataFrame, *, minimum: int = MINIMUM, longest: int = LON
     return counts.drop("hash"), totals
 
 
-def _slices(minimum: int, width: int):
-    from collections.abc import Iterator
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _frequent_buckets(key, batches, minimum, width)
-
-    merge.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return merge
-
-
 def collocations(docs: DataFrame, *, minimum: int = MINIMUM, longest: int = LONGEST, top: int = TOP, percent: int = 100, broadcast_counts: int = BROADCAST_COUNTS, **options) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's phrases of the highest scores.
 
