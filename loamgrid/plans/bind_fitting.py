@@ -10,8 +10,8 @@ from ..operators import graph as N
 from ..operators import kernels as K
 from ..operators import raster as A
 from ..operators import relations as J
-from ..sources import fixtures
 from ..sources import readers as I
+from ..sources.records import write_records
 from ..sources.scratch import new_path
 from .domain import COUNTS, GRID, PAIRS, counts, grid, pairs, places
 from .bind_graph import REACHED
@@ -137,31 +137,34 @@ def _(t):
 # binary sources
 
 
-def _doubles(t, columns, rows, name):
+def _doubles(t, columns, rows, order, name):
     path = new_path(t.spark, name)
-    m = rows.select(*columns).toPandas().to_numpy(float)
-    fixtures.write_bytes(t.spark, m.astype("<f8").tobytes(), f"{path}/{name}.bin")
+    write_records(rows, columns, [order], path)
     return path
 
 
 @query("src_geno_binary", "WITH " + COUNTS + ", s AS (SELECT site, sum(A)::DOUBLE AS A, sum(C)::DOUBLE AS C, sum(d)::DOUBLE AS d FROM c GROUP BY site) SELECT row_number() OVER (ORDER BY site) - 1 AS record, round(A / d, 9) AS pr, round(C / d, 9) AS ph, round((d - A - C) / d, 9) AS pa FROM s")
 def _(t):
-    s = counts(t).groupBy("site").agg(F.sum("A").alias("A"), F.sum("C").alias("C"), F.sum("d").alias("d")).orderBy("site")
+    s = counts(t).groupBy("site").agg(F.sum("A").alias("A"), F.sum("C").alias("C"), F.sum("d").alias("d"))
     d = F.col("d").cast("double")
-    p = s.select("site", (F.col("A") / d).alias("pr"), (F.col("C") / d).alias("ph"), ((d - F.col("A") - F.col("C")) / d).alias("pa")).orderBy("site")
-    path = _doubles(t, ["pr", "ph", "pa"], p, "geno")
-    return I.records_of_doubles(t.spark, path, ["pr", "ph", "pa"]).select("record", R("pr", 9).alias("pr"), R("ph", 9).alias("ph"), R("pa", 9).alias("pa"))
+    p = s.select("site", (F.col("A") / d).alias("pr"), (F.col("C") / d).alias("ph"), ((d - F.col("A") - F.col("C")) / d).alias("pa"))
+    path = _doubles(t, ["pr", "ph", "pa"], p, "site", "geno")
+    return I.records_of_doubles(t.spark, path, ["pr", "ph", "pa"]).select(F.col("at").alias("record"), R("pr", 9).alias("pr"), R("ph", 9).alias("ph"), R("pa", 9).alias("pa"))
 
 
-@query("src_pc_5bin", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS record, s_acctbal AS a, s_suppkey::DOUBLE AS b FROM supplier")
+PC = ["intercept", "pc1", "pc2", "pc3", "pc4"]
+
+
+@query("src_pc_5bin", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS record, 1.0::DOUBLE AS intercept, s_acctbal AS pc1, s_suppkey::DOUBLE AS pc2, -s_acctbal AS pc3, s_nationkey / 4.0::DOUBLE AS pc4 FROM supplier")
 def _(t):
-    path = _doubles(t, ["s_acctbal", "s_suppkey"], t.supplier.orderBy("s_suppkey"), "pc")
-    return I.records_of_doubles(t.spark, path, ["a", "b"]).select("record", "a", "b")
+    b = F.col("s_acctbal")
+    pcs = t.supplier.select("s_suppkey", F.lit(1.0).alias("intercept"), b.alias("pc1"), F.col("s_suppkey").cast("double").alias("pc2"), (-b).alias("pc3"), (F.col("s_nationkey") / 4.0).alias("pc4"))
+    return I.records_of_doubles(t.spark, _doubles(t, PC, pcs, "s_suppkey", "pc"), PC).select(F.col("at").alias("record"), *PC)
 
 
 @query("src_raster", "WITH " + GRID + " SELECT cell, row, col, l1::DOUBLE AS value FROM g")
 def _(t):
-    path = _doubles(t, ["l1"], grid(t).orderBy("cell"), "layer")
+    path = _doubles(t, ["l1"], grid(t), "cell", "layer")
     return I.raster_binary(t.spark, path, 50).select("cell", "row", "col", "value")
 
 

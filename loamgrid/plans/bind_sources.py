@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import cube
 from ..sources import readers as I
 from ..sources import writers as O
+from ..sources.records import write_records
 from ..sources.scratch import new_path
 from .domain import COUNTS, GRID, N_IND, PAIRS, counts, grid, pairs
 from .registry import query
@@ -41,10 +43,20 @@ def _(t):
     return I.site_range(rows, 4, 420, 460).groupBy("chr", "pos").agg(F.count("*").alias("n"))
 
 
-@query("src_bin_random_access", W + " SELECT site, ind, CASE WHEN d < 5 THEN d END AS d FROM c WHERE site IN (3, 77, 500, 1999)")
+#: Records of all individuals' counts, in the order of the sites.
+RECORDS = GRID_OF_COUNTS.replace(W, W + ", o AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS at FROM c GROUP BY site)").replace("SELECT a.site, 'ind' || a.ind AS ind", "SELECT o.at AS site, a.ind::BIGINT AS ind").replace("FROM a LEFT JOIN c", "FROM a JOIN o ON o.site = a.site LEFT JOIN c")
+
+
+def binary_counts(t):
+    path, names = new_path(t.spark, "bin"), [f"ind{i}_{b}" for i in INDS for b in BASES]
+    write_records(wide_counts(t), names, ["site"], path, "u1")
+    return I.counts_binary(t.spark, path, N_IND).drop("file")
+
+
+@query("src_bin_random_access", RECORDS + " WHERE o.at IN (3, 77, 500, 1499, 1500)")
 def _(t):
-    k = O.saturate(counts(t), ["d"], 5).where(F.col("site").isin(3, 77, 500, 1999))
-    return k.select("site", "ind", F.when(F.col("d") < 5, F.col("d")).cast("long").alias("d"))
+    """Conditions on the record's number reach the source: five records in four reads."""
+    return binary_counts(t).where(F.col("site").isin(3, 77, 500, 1499, 1500))
 
 
 @query("src_pos_maf_paste", W + ", s AS (SELECT site, sum(x)::BIGINT AS x, sum(d)::BIGINT AS d FROM c GROUP BY site) SELECT p_partkey AS site, p_brand AS brand, x, d FROM part JOIN s ON s.site = p_partkey")
@@ -121,14 +133,10 @@ def _(t):
     return lines.select(F.regexp_extract("file", r"run_(\d+)", 1).cast("long").alias("run"), F.regexp_extract("file", r"iter_(\d+)", 1).cast("long").alias("iter"), F.col("value").cast("double").alias("score"))
 
 
-@query("src_counts_bin")
+@query("src_counts_bin", RECORDS)
 def _(t):
-    """The text reader's table through the binary reader: bytes written on the driver for a roster's fixture."""
-    from ..sources.fixtures import write_binary_counts
+    return binary_counts(t)
 
-    path = new_path(t.spark, "bin")
-    write_binary_counts(t.spark, wide_counts(t).orderBy("site"), [f"ind{i}_{b}" for i in INDS for b in BASES], path)
-    return I.counts_binary(t.spark, path, N_IND)
 
 
 @query("snk_counts_bin", W + " SELECT site, ind, least(d, 255)::BIGINT AS d FROM c")
@@ -185,3 +193,12 @@ def _(t):
     path = new_path(t.spark, "raster")
     grid(t).select("cell", "l1").write.mode("overwrite").parquet(path)
     return t.spark.read.parquet(path)
+
+
+@query("snk_netcdf", W + ", l AS (SELECT site AS pos, ind, unnest([0, 1, 2, 3]) AS base, unnest([A, C, G, T]) AS n FROM c) SELECT pos, ind, base::BIGINT AS base, n::BIGINT AS n FROM l WHERE pos BETWEEN 250 AND 449 AND ind BETWEEN 1 AND 4")
+def _(t):
+    """A cube of counts in chunks of 100 sites by 2 individuals; a slab of it reads 3 x 3 chunks."""
+    path = new_path(t.spark, "cube")
+    each = F.posexplode(F.array(*BASES)).alias("base", "n")
+    cube.write_cube(counts(t).select(F.col("site").alias("pos"), "ind", each), path, {"pos": 100, "ind": 2, "base": 4}, "n", attributes={"units": "reads"})
+    return cube.read_slab(t.spark, path, pos=(250, 449), ind=(1, 4))

@@ -163,6 +163,7 @@ def test_binary_counts_round_trip(spark):
     m = np.random.default_rng(5).integers(0, 256, (77, 12)).astype(np.uint8)
     path = new_path(spark, "bin-test")
     fixtures.write_bytes(spark, m.tobytes(), f"{path}/x.bin")
+    assert readers.counts_binary(spark, path, 3).where("site = 76").count() == 3
     got = {(r["site"], r["ind"]): [r[b] for b in "ACGT"] for r in readers.counts_binary(spark, path, 3).collect()}
     assert len(got) == 77 * 3
     for (s, i), v in got.items():
