@@ -1,15 +1,24 @@
 """Main text of web pages by removal of site templates.
 
 Each page is parsed into elements, and every block element that doesn't hold the
-article or its heading is hashed as a subtree of names and text, attributes left
-out. Spark counts on how many different pages of a host each subtree recurs.
-Subtrees that recur on ``MIN_PAGES`` pages or more are deleted from every page of
-that host; within an article only those on ``MIN_INSIDE`` pages or more and on
-more than half of the host's, as articles quote each other.
-
-Rules by element, role and class, and the article's own mark, then take what
-doesn't recur on its host: a host of few pages shows no recurrence, and menus,
-adverts, forms and comments often differ from page to page.
+article or its heading is hashed as a subtree, in two ways: by names and text, and
+by its shape: names, roles, classes and ids (digits masked) and the set of shapes
+within it, without any text. Spark counts on how many different pages of a host
+each subtree recurs, and what recurs on ``MIN_PAGES`` pages or more is deleted from
+every page of that host. Menus, adverts, footers and comments keep their shape from
+page to page where their words change.
+
+A shape only counts where it tells more than a plain paragraph or list: an element
+with a class, id or role, one that HTML has for such parts (``nav``, ``footer``),
+or one of mostly links. The page's main block is no template: the article, or where
+none is marked, the block that holds most of the text, and what lies in it. In it
+only equal text on ``MIN_INSIDE`` pages or more and more than half of the host's is
+deleted, as articles quote each other.
+
+Elements that never hold an article's text (scripts, form controls, navigation)
+go in any case; so do adverts and comments within an article that say so in a class
+of just that name. A host of fewer than ``MIN_PAGES`` different pages shows no
+recurrence: there rules by class, and the article's own mark, take the place.
 
 Two pages count as different if their titles, first headings or articles (all
 text, where none is marked) differ; copies of a page, whatever their urls, count
@@ -64,6 +73,12 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended recommendations comment comments disqus respond replies login search widget pagination pager copyright skip".split()
 )
 MAIN = frozenset(["article", "main"])
+#: Elements whose shape tells a template by their name alone; inline elements that are part of a shape.
+STRUCTURAL = frozenset("nav footer aside header form dialog menu".split())
+SHAPED = frozenset("a img input select button textarea".split())
+#: A class of one of these names alone marks an advert or comments, within an article too.
+FOREIGN = frozenset("ad ads advert adverts advertisement sponsored adsbygoogle comments disqus".split())
+DIGITS = re.compile(r"\d+")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -71,13 +86,17 @@ HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "holds", "chars", "digest")
+    __slots__ = ("tag", "attributes", "children", "holds", "chars", "linked", "digest", "shape")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes = tag, attributes
         self.children: list = []
         self.holds = tag in MAIN or tag == "h1"  # it or something in it is the article or its heading
-        self.chars = 0
+        self.chars = self.linked = 0  # of text, and of text in links
+
+    def named(self) -> dict[str, str]:
+        """Classes, id, role and the like."""
+        return {n.lower(): v.strip("\"'").lower() for n, v in ATTRIBUTE.findall(self.attributes)} if self.attributes else {}
 
 
 def parse(source: str) -> Node:
@@ -92,6 +111,7 @@ def parse(source: str) -> Node:
             is_open[node.tag] -= 1
             stack[-1].holds |= node.holds
             stack[-1].chars += node.chars
+            stack[-1].linked += node.chars if node.tag == "a" else node.linked
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -158,6 +178,9 @@ def parse(source: str) -> Node:
             elif words := c.split():
                 parts.append(" ".join(words).encode("utf-8", "surrogatepass"))
         node.digest = xxhash.xxh3_64_digest(b"\0".join(parts))
+        within = sorted({c.shape for c in node.children if not isinstance(c, str) and (c.tag in BLOCKS or c.tag in SHAPED)})
+        names = [f"{n}={' '.join(sorted(DIGITS.sub('0', v).split()))}" for n, v in sorted(node.named().items())]
+        node.shape = xxhash.xxh3_64_digest(b"\0".join([" ".join([node.tag, *names]).encode("utf-8", "surrogatepass"), *within]))
     return root
 
 
@@ -197,9 +220,9 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def key_of(host: str, digest: bytes, inside: bool = False) -> int:
-    """Signed 64-bit hash of a host's subtree, apart within articles; with an empty digest that of the host."""
-    return xxhash.xxh3_64_intdigest(b"%d" % inside + digest + host.encode("utf-8", "surrogatepass")) - 2**63
+def key_of(host: str, digest: bytes, kind: bytes = b"0") -> int:
+    """Signed 64-bit hash of a host's subtree by its kind: text outside articles (0), within (1), or shape (s); of the host with an empty digest."""
+    return xxhash.xxh3_64_intdigest(kind + digest + host.encode("utf-8", "surrogatepass")) - 2**63
 
 
 def candidate(node: Node) -> bool:
@@ -207,45 +230,93 @@ def candidate(node: Node) -> bool:
     return node.tag in BLOCKS and not node.holds and node.chars > 0 and node.tag not in ("html", "body", "head")
 
 
+def shaped(node: Node) -> bool:
+    """Whether a candidate's shape tells more than a plain paragraph or list."""
+    return node.tag in STRUCTURAL or 2 * node.linked >= node.chars or bool(node.named())
+
+
+def main_blocks(root: Node) -> set[int]:
+    """The page's main block and what holds it: the articles, else from the page down as long as one block has most of the unlinked text."""
+    if first(root, *MAIN) is not None:
+        return set()
+    node, path = root, {id(root)}
+    while True:
+        inner = [c for c in node.children if not isinstance(c, str) and c.tag in BLOCKS and c.tag not in DROPPED]
+        best = max(inner, key=lambda c: c.chars - c.linked, default=None)
+        if best is None or 2 * (best.chars - best.linked) <= node.chars - node.linked:
+            return path
+        node = best
+        path.add(id(node))
+
+
+class Place:
+    """Where a walk through a page is: within the main block or not."""
+
+    def __init__(self, root: Node):
+        self.path, self.inside = main_blocks(root), 0
+        self.deepest = None
+        if self.path:  # the last of the path is the block itself
+            node = root
+            while True:
+                inner = next((c for c in node.children if not isinstance(c, str) and id(c) in self.path), None)
+                if inner is None:
+                    break
+                node = inner
+            self.deepest = node if node.tag not in ("", "html", "body") else None
+
+    def main(self, node: Node) -> bool:
+        return node.tag in MAIN or node is self.deepest
+
+    def keys(self, host: str, node: Node) -> list[int]:
+        """The keys by which an element may be deleted."""
+        if not candidate(node) or id(node) in self.path:
+            return []
+        out = [key_of(host, node.digest, b"%d" % (self.inside > 0))]
+        if shaped(node) and (not self.inside or node.tag in STRUCTURAL):
+            out.append(key_of(host, node.shape, b"s"))
+        return out
+
+
 def subtree_keys(url: str | None, source: str) -> tuple[dict[int, bool], int, int]:
-    """A page's candidate subtrees, each once, with whether they lie in an article; the keys of its host and of itself."""
+    """A page's candidate subtrees, each once, with whether they are text in an article; the keys of its host and of itself."""
     root, host = parse(source), host_of(url)
     main = first(root, *MAIN)
     name = "\0".join([*(text_of(x) for x in (first(root, "title"), first(root, "h1")) if x is not None), shown(main or root)])
-    own = key_of(host, b"")
-    keys, inside = {own: False}, 0
+    own, place = key_of(host, b""), Place(root)
+    keys = {own: False}
     for c, opened in events(root, lambda x: x.tag not in RAW):
         if isinstance(c, str):
             continue
-        if opened and candidate(c):
-            keys[key_of(host, c.digest, inside > 0)] = inside > 0
-        if c.tag in MAIN:
-            inside += 1 if opened else -1
+        if opened:
+            for n, k in enumerate(place.keys(host, c)):
+                keys[k] = place.inside > 0 and not n
+        if place.main(c):
+            place.inside += 1 if opened else -1
     return keys, own, xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def boilerplate(node: Node, in_main: bool) -> bool:
-    """The rules by element, role and class."""
+def boilerplate(node: Node, in_main: bool, by_class: bool) -> bool:
+    """The rules by element and role, and those by class: within the main block of one name alone, elsewhere of any part of a name."""
     if node.tag in DROPPED or node.tag == "header" and not (in_main or node.holds):
         return True
     if node.holds or not node.attributes or node.tag in ("html", "body"):
         return False
-    for name, value in ATTRIBUTE.findall(node.attributes):
-        value, name = value.strip("\"'").lower(), name.lower()
-        if name == "hidden" or name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+    names = node.named()
+    if "hidden" in names or names.get("role") in DROPPED_ROLES:
+        return True
+    if in_main:
+        return not FOREIGN.isdisjoint(names.get("class", "").split())
+    return by_class and any(not DROPPED_WORDS.isdisjoint(re.split(r"[\s_-]+", names.get(n, ""))) for n in ("class", "id"))
 
 
-def main_text(url: str | None, source: str, recurring) -> str:
-    """Text of a page without the subtrees whose keys are ``recurring``, one line a block."""
+def main_text(url: str | None, source: str, recurring, large: bool | None = None, rules=boilerplate) -> str:
+    """Text of a page without the subtrees whose keys are ``recurring``, one line a block; ``large``: of a host with recurrence (else told by the keys)."""
     root, host = parse(source), host_of(url)
-    only_main = first(root, *MAIN) is not None
+    large = recurring(key_of(host, b"")) if large is None else large
+    only_main = not large and first(root, *MAIN) is not None
     lines: list[str] = []
     run: list[str] = []
-    inside = 0
+    place = Place(root)
 
     def flush():
         line = " ".join("".join(run).split())
@@ -254,14 +325,12 @@ def main_text(url: str | None, source: str, recurring) -> str:
             lines.append(line)
 
     def kept(node: Node) -> bool:
-        if candidate(node) and recurring(key_of(host, node.digest, inside > 0)):
-            return False
-        return not boilerplate(node, inside > 0)
+        return not any(map(recurring, place.keys(host, node))) and not rules(node, place.inside > 0, not large)
 
     state = {"into": True}
     for c, opened in events(root, lambda _: state["into"]):
         if isinstance(c, str):
-            if inside or not only_main:
+            if place.inside or not only_main:
                 run.append(c)
             continue
         if opened and c.tag == "br":
@@ -270,8 +339,8 @@ def main_text(url: str | None, source: str, recurring) -> str:
             flush()
         if opened:
             state["into"] = kept(c)
-        if c.tag in MAIN and (not opened or state["into"]):
-            inside += 1 if opened else -1
+        if place.main(c) and (not opened or state["into"]):
+            place.inside += 1 if opened else -1
     flush()
     return "\n".join(lines)
 

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from loamgrid.llm import decontamination, html_extract, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts, warc
 from loamgrid.llm import queries as Q
+from tests.llm.common import LOREM
 from tests.oracle import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -495,3 +496,65 @@ def test_rows_without_page_id_revisit(spark):
     d = spark.createDataFrame([(7, "same"), (None, "same"), (3, "same"), (None, "alone"), (None, "alone")], "page_id long, html string").selectExpr("page_id", "'http://x.example/' AS url", "html")
     got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(d).collect())
     assert got == [(0, "response", None), (0, "response", None), (0, "revisit", 3), (3, "response", None), (7, "revisit", 3)]
+
+
+def made_sites():
+    """Pages of three hosts whose furniture changes its words from page to page; the article's blocks are known."""
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(rng.choice(LOREM, n))
+    pages, k = [], 0
+    for host, n, marked in (("a.example", 12, True), ("b.example", 9, False), ("c.example", 2, True)):
+        for _ in range(n):
+            blocks = [f"Title {k}", *[some(int(rng.integers(5, 60))) for _ in range(int(rng.integers(3, 6)))]]
+            links = "".join(f'<li><a href="/{i}">{some(1)}</a></li>' for i in range(int(rng.integers(3, 9))))
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f'<p class="lead">{b}</p>' if i == 0 else f"<p>{b}</p>" for i, b in enumerate(blocks[1:]))
+            body = f"<article>{body}</article>" if marked else f'<div class="post-{k}">{body}</div>'
+            notice = f'<div class="box"><b>{some(3)}</b> {some(4)}</div>' if marked else ""
+            comments = "".join(f'<section class="reply"><p>{some(9)}</p></section>' for _ in range(int(rng.integers(1, 4)))) if host != "c.example" else ""
+            source = f'<body><ul class="m{k % 10}">{links}</ul><div class="top ads">{some(6)}</div>{notice if host != "c.example" else ""}{body}{comments}<div id="foot{k}">{some(5)}<a href="x">{some(1)}</a></div></body>'
+            pages.append((k, f"http://{host}/{k}", source, "\n".join(blocks)))
+            k += 1
+    return pages
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_shapes_of_furniture(spark, bound):
+    """Menus, adverts, boxes, replies and footers never share a text; their shapes recur on the large hosts."""
+    pages = made_sites()
+    d = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(d, broadcast_keys=bound).collect()}
+    assert got == {k: text for k, _, _, text in pages}
+
+
+def test_shapes_decide_on_large_hosts(spark):
+    """Without any rule the recurring shapes alone give the article; without the recurring shapes nothing is right."""
+    pages = [p for p in made_sites() if "a.example" in p[1]]
+    seen = {}
+    for k, url, source, _ in pages:
+        for key in html_extract.subtree_keys(url, source)[0]:
+            seen.setdefault(key, set()).add(k)
+    recurring = {key for key, on in seen.items() if len(on) >= html_extract.MIN_PAGES}
+    no_rules = lambda *_: False
+    for _, url, source, text in pages:
+        assert html_extract.main_text(url, source, recurring.__contains__, True, no_rules) == text
+        assert html_extract.main_text(url, source, lambda k: False, True, no_rules) != text
+
+
+def test_articles_lose_nothing_to_words(spark):
+    source = '<article><h1>T</h1><p>a</p><div class="search-notes">b</div><section id="related"><p>c</p></section><div class="ad">x</div><nav>y</nav></article><p class="search">z</p>'
+    d = spark.createDataFrame([(1, "http://one.example", source)], "page_id long, url string, html string")
+    assert html_extract.extract_text(d).first()["text"] == "T\na\nb\nc"
+
+
+def test_pages_of_the_table(spark):
+    """Against the article cut out by hand from pages whose blocks are known."""
+    import html
+    import re
+
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(d).collect()}
+    for r in d.collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", r["html"])[1]
+        blocks = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert got[r["page_id"]] == "\n".join(x for x in lines if x)
