@@ -4,8 +4,9 @@ A text is a vector of its character bigrams and trigrams (letters lower-cased,
 every run of other characters one blank), hashed into ``dim`` places, weighted
 by TF-IDF and normalised. Each language has several centroids, found by
 spherical k-means on its training texts; a text takes the language of the
-centroid with the greatest cosine. A text that is farther from it than any
-training text of its length was, by a margin, is marked ``rejected``.
+centroid with the greatest cosine. A text that is much farther from it than
+training passages of its length are, and than any whole training text of its
+length or longer, is marked ``rejected``.
 
 Document frequencies cover all training texts. The centroids are fitted on a
 sample by hash of at most about ``sample_per_language`` texts a language, whole
@@ -37,10 +38,11 @@ DIM = 4096
 CLUSTERS = 4
 #: Bound of the training sample, texts a language (in expectation).
 SAMPLE_PER_LANGUAGE = 400
-#: A text is rejected below this share of the least cosine of training texts of its length or longer.
-MARGIN = 0.5
-#: Texts of fewer n-grams are too short to be called foreign.
-LEAST_NGRAMS = 64
+#: A text is rejected below this share of the median cosine of training passages of its length, or of the least cosine of a
+#: whole training text of its length or longer, whichever is lower.
+MEDIAN_SHARE, LEAST_SHARE = 0.4, 0.9
+#: Passages of a length that are drawn from each text of the sample.
+PASSAGES = 2
 PIECE = 1 << 20
 SHARPNESS = 20.0
 
@@ -110,14 +112,27 @@ def _fit_language(rows: pd.DataFrame, idf: np.ndarray, clusters: int) -> pd.Data
     x = np.vstack([vector(c, idf) for c, _ in found])
     centres = spherical_kmeans(x, clusters)
     cos, bins = (x @ centres.T).max(1), np.array([b for _, b in found])
-    least = [float(cos[bins >= b].min()) if (bins >= b).any() and (bins <= b).any() else 0.0 for b in range(40)]
-    top = max(b for b in bins)
-    least = [least[min(b, top)] for b in range(40)]
+    # how near passages of the language come by their length: a short one has few of a centroid's n-grams
+    rng, near = np.random.default_rng(0), [[] for _ in range(40)]
+    for t in sorted(rows["text"]):
+        size = 4
+        while size <= len(t):
+            for at in rng.integers(0, len(t) - size + 1, PASSAGES):
+                if (c := ngram_counts(t[at : at + size], len(idf))) is not None:
+                    near[int(math.log2(c.sum()))].append(float((centres @ vector(c, idf)).max()))
+            size *= 2
+    for b, c in zip(bins, cos):
+        near[b].append(float(c))
+    least, last = [], 0.0
+    for b in range(40):
+        last = max(last, float(np.median(near[b]))) if near[b] else last
+        whole = cos[bins >= b] if (bins >= b).any() else cos[bins == bins.max()]
+        least.append(min(MEDIAN_SHARE * last, LEAST_SHARE * float(whole.min())))
     return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centres], "least": [least] * len(centres)})
 
 
 class Model:
-    """Centroids by language, IDF weights, the least cosines by length."""
+    """Centroids by language, IDF weights, the cosines by length below which a text is rejected."""
 
     def __init__(self, langs: list[str], owner: np.ndarray, centroids: np.ndarray, least: np.ndarray, idf: np.ndarray):
         self.langs, self.owner, self.centroids, self.least, self.idf = langs, owner, centroids, least, idf
@@ -158,11 +173,11 @@ def classify(text: str | None, m: Model, margin: float) -> tuple[str, float, boo
     k = int(best.argmax())
     score = 1.0 / np.exp(SHARPNESS * (best - best[k])).sum()
     length = min(39, int(math.log2(counts.sum())))
-    far = counts.sum() >= LEAST_NGRAMS and best[k] < margin * m.least[k][length]
+    far = best[k] < margin * m.least[k][length]
     return m.langs[k], float(score), bool(far)
 
 
-def predict(docs: DataFrame, model: Model, *, margin: float = MARGIN, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, margin: float = 1.0, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every row; the columns ``keep`` in a struct ``kept_row``."""
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # CLUSTERS centroids of DIM numbers a language

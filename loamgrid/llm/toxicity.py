@@ -247,7 +247,8 @@ def fit(train: DataFrame, labels: DataFrame, *, toxic_bytes: int = TOXIC_BYTES,
 
     # one task: the sample is bounded
     rows = texts.join(F.broadcast(ids), F.col("id") == F.col("chosen")).select(F.lit(1).alias("all"), "place", "id", "text", "toxic")
-    return pickle.loads(rows.groupBy("all").applyInArrow(learn, "model binary").first()["model"]), float(prior)
+    learned = rows.groupBy("all").applyInArrow(learn, "model binary").first()
+    return (pickle.loads(learned["model"]) if learned else None), float(prior)
 
 
 def predict(docs: DataFrame, model, prior: float, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamgrid.llm import decontamination, html_extract, language_id, language_model, minhash_dedup, packing, quality_pu, quality_rules, token_counts, warc
+from loamgrid.llm import decontamination, hard_negatives, html_extract, language_id, language_model, minhash_dedup, packing, phrases, quality_pu, quality_rules, token_counts, toxicity, warc
 from tests.llm.common import CLASHING, LOREM, awkward
 
 N = 14
@@ -27,6 +28,7 @@ OPERATORS = {
     "minhash_dedup": lambda s, d: minhash_dedup.near_duplicates(d),
     "token_counts": lambda s, d: token_counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
     "decontamination": lambda s, d: decontamination.decontaminate(d, items(s)),
+    "toxicity": lambda s, d: toxicity.classify(d, labels(s)),
 }
 
 
@@ -50,6 +52,57 @@ def test_empty_benchmark_and_labels(spark):
     assert {r["quality_score"] for r in quality_pu.classify(d, labels(spark).where("false")).collect()} == {0.5}
 
 
+def test_toxicity_without_labels_or_wording(spark):
+    d, none = awkward(spark), labels(spark).where("false")
+    assert {r["toxicity"] for r in toxicity.classify(d, none).collect()} == {0.0}
+    all_toxic = labels(spark).where("doc_id is not null").withColumn("toxic", F.lit(1))
+    assert {r["toxicity"] for r in toxicity.classify(d, all_toxic).collect()} == {1.0}
+    some = {r["toxicity"] for r in toxicity.classify(d, labels(spark)).collect()}  # too few texts for any wording
+    assert len(some) == 1 and 0 < some.pop() < 1
+
+
+def test_collocation_cases(spark):
+    """Words of null languages, doubled rows, pieces, one giant word and an odd language name."""
+    d = awkward(spark).unionByName(spark.createDataFrame([(20, "A b, a b; c\na B.", "x\ty\nz%0A"), (21, "c " * 3 + "w" * 3_000_000, "x\ty\nz%0A")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    counts, totals = phrases.count_phrases(d, minimum=2, block_words=50)
+    got = {(r["lang"], r["phrase"]): r["f"] for r in counts.collect()}
+    n = {r["lang"]: r["n"] for r in totals.collect()}
+    assert got["x\ty\nz%0A", "a b"] == 3 and got["x\ty\nz%0A", "c"] == 4 and got["x\ty\nz%0A", "c c"] == 2 and n["x\ty\nz%0A"] == 11
+    assert got["en", "the"] == 304 * LOREM.count("the") and got["en", "brown fox"] == 304 and ("en", "hills the") not in got
+    assert n["und"] == len(LOREM) + 1 and ("und", "brown fox") not in got
+    # one text of many pieces is dealt to several blocks
+    assert {r["phrase"]: r["a"] for r in phrases.collocations(d, minimum=300, top=3).where("lang = 'en'").collect()}
+    assert phrases.collocations(d.where("false")).collect() == []
+
+
+def vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    v = [1.0, 0.5, -0.25]
+    rows = [(0, v, 1), (1, v, 1), (2, [0.5, 0.5, 0.0], 2), (3, [0.4, 0.1, 0.0], 2), (3, [0.4, 0.1, 0.0], 2), (4, [0.9], 2), (5, [], 3), (None, [0.4, 0.1, 0.0], 2), (6, None, 2), (7, [1.0, None], 2), (8, [nan], 2), (9, [inf], 2), (10, v, None), (100, [0.0, 0.0, 0.0], 2), (200, [-1.0, 0.0, 0.0], 5), (300, v, 1)]
+    names = CLASHING.replace("id long, ", "").replace("label string, ", "").split(", ")
+    return spark.createDataFrame([(*r, *[None] * len(names)) for r in rows], "vec_id long, embedding array<double>, label int, " + ", ".join(names))
+
+
+def test_hard_negative_cases(spark):
+    mine = lambda d: sorted((tuple(r) for r in hard_negatives.mine_negatives(d, F.col("vec_id") % 100 == 0).collect()), key=str)
+    got = mine(vectors(spark))
+    # whole numbers are floor(256 x): v = (256, 128, -64), a shorter vector ends in zeros, an empty one scores 0
+    own, near, less = 256**2 + 128**2 + 64**2, 256 * 128 + 128 * 128, 256 * 102 + 128 * 25
+    short = 256 * 230
+    for anchor in (0, 300):
+        for positive in {0, 1, 300} - {anchor}:
+            ranked = [r for r in got if r[0] == anchor and r[1] == positive]
+            want = [(n, s) for n, s in ((4, short), (2, near), (3, less), (3, less), (None, less)) if 30 * own <= 100 * s <= 90 * own]
+            assert [(r[3], r[5]) for r in sorted(ranked, key=lambda r: r[2])] == want and {r[4] for r in ranked} == {own}
+    # the zero anchor scores 0 with all: its positives score 0, and so do its negatives, by id, null last
+    zero = sorted((r for r in got if r[0] == 100 and r[1] == 2), key=lambda r: r[2])
+    assert [r[3] for r in zero] == [0, 1, 5, 200, 300] and {r[5] for r in zero} == {0}
+    assert not [r for r in got if r[0] == 200]  # no other row of its label
+    assert mine(vectors(spark).where("false")) == [] and mine(vectors(spark).where("vec_id % 100 > 0")) == []
+    with pytest.raises(ArithmeticError):
+        mine(spark.createDataFrame([(0, [1e30], 1), (1, [1e30], 1)], "vec_id long, embedding array<double>, label int"))
+
+
 def test_dedup_cases(spark):
     got = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(awkward(spark)).collect()}
     assert got[1]["component_id"] == got[2]["component_id"] == got[7]["component_id"] == 1
@@ -101,9 +154,16 @@ def test_archives(spark):
     assert warc.archive_round_trip(pages(spark).where("false")).collect() == []
 
 
+#: Ids that each filtering stage keeps of the awkward rows.
+SURVIVE = {
+    # few labels: nearly all the same score, that of the prior, and whole texts stay
+    2: {None, 1, 3, 4, 5, 6, 9, 10, 11, 12},  # 2, 7 and 8 are near-duplicates of 1
+    3: {None, 3, 4, 5, 9, 10, 11, 12},  # 1, 2, 7 and 8 hold item a, 6 is item d
+}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, k, tmp_path):
-    awkward(spark).createOrReplaceTempView("unused")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     stage = corpus_pipeline.STAGES[k][1]
@@ -111,5 +171,22 @@ def test_stages(spark, k, tmp_path):
     out = stage(spark, d, str(tmp_path))
     if k < 4:
         assert out.columns == d.columns
-        assert out.count() <= d.count()
+        ids = [r["doc_id"] for r in out.collect()]
+        assert len(ids) <= N and set(ids) == SURVIVE.get(k, set(ids))
+    else:
+        assert {r["doc_id"] for r in out.collect()} == {None, *range(1, 13)}
     assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
+
+
+def test_quality_and_language_stages_keep_and_drop(spark, tmp_path):
+    """Good prose stays, lines of marks go; texts of a learned language stay, another script and texts without a letter go."""
+    prose = [(i, " ".join(LOREM[i % 7 :]) + f". Number {i} and so on.", "en") for i in range(60)]
+    junk = [(100 + i, "#### || %% 000 !! " * 30, "en") for i in range(60)]
+    other = [(200, "Съешь же ещё этих мягких французских булок да выпей чаю и ещё раз выпей чаю", None), (201, "12345 !!!", "en"), (202, None, "en")]
+    d = spark.createDataFrame(prose + junk + other, "doc_id long, text string, lang string")
+    known = [(i, int(i < 100), 0) for i, _, _ in prose + junk]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = {r["doc_id"] for r in corpus_pipeline.good_quality(spark, d, str(tmp_path)).collect()}
+    assert good >= {i for i, _, _ in prose} and not good & {i for i, _, _ in junk}
+    spoken = {r["doc_id"] for r in corpus_pipeline.known_language(spark, d.where("doc_id < 100 or doc_id >= 200"), str(tmp_path)).collect()}
+    assert spoken == {i for i, _, _ in prose}
