@@ -256,36 +256,6 @@ def interpolate_times(edges: DataFrame, observed: DataFrame, targets: DataFrame,
     return both.groupBy("target").applyInPandas(solve, "target long, cell long, ht double")
 
 
-def principal_components(pairs: DataFrame, n: int, *, value: str = "value") -> DataFrame:
-    """``id, pc1..pcn, share1..n`` of a double-centred symmetric table; the largest loading of each is positive.
-
-    The samples are a roster, so the matrix is solved in one group.
-    """
-    names = [f"pc{k + 1}" for k in range(n)] + [f"share{k + 1}" for k in range(n)]
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([rows["id1"], rows["id2"]]))
-        m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, rows["id1"]), np.searchsorted(ids, rows["id2"])
-        m[a, b] = m[b, a] = rows["v"]
-        m = m - m.mean(0) - m.mean(1)[:, None] + m.mean()
-        w, v = np.linalg.eigh(m)
-        order = np.argsort(-np.abs(w))[:n]
-        w_all = np.abs(w).sum()
-        out = {"id": ids}
-        for k in range(n):
-            if k < len(order):
-                x = v[:, order[k]]
-                out[f"pc{k + 1}"] = x * np.sign(x[np.abs(x).argmax()])
-                out[f"share{k + 1}"] = np.abs(w[order[k]]) / w_all
-            else:
-                out[f"pc{k + 1}"] = out[f"share{k + 1}"] = np.nan
-        return pd.DataFrame(out)[["id", *names]]
-
-    rows = pairs.select(F.lit(0).alias("g"), "id1", "id2", F.col(value).cast("double").alias("v"))
-    return rows.groupBy("g").applyInPandas(solve, "id long, " + ", ".join(f"{x} double" for x in names))
-
-
 def smooth_surface(known: DataFrame, targets: DataFrame, *, ridge: float = 1e-6) -> DataFrame:
     """Thin-plate spline through known points ``x, y, z`` (a roster), evaluated on all cells in Arrow batches."""
     k = known.select("x", "y", "z").dropna().toPandas()

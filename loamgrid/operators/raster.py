@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,50 @@ def disaggregate(cells: DataFrame, layer: str, k: int) -> DataFrame:
     return cells.select(steps.alias("s"), layer).select("s.row", "s.col", layer)
 
 
-def clump(cells: DataFrame, offsets=ROOK) -> DataFrame:
-    """``cell, clump``: connected components of the table's cells, named by their least cell."""
-    e = rook_edges(cells, offsets).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    labels = connected_components(e).toDF("cell", "label")
-    return cells.select("cell").join(labels, "cell", "left").select("cell", F.coalesce("label", "cell").alias("clump"))
+#: Side of the tiles that are labelled one by one.
+TILE = 64
+
+
+def _clumps_of_tile(offsets):
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        """The least cell of each cell's clump within the tile."""
+        cell = np.sort(rows["cell"].to_numpy())
+        rows = rows.sort_values("cell")
+        r, c = rows["row"].to_numpy() - rows["row"].min(), rows["col"].to_numpy() - rows["col"].min()
+        at = np.full((r.max() + 3, c.max() + 3), -1)
+        at[r + 1, c + 1] = np.arange(len(cell))
+        near = [at[r + 1 + a, c + 1 + b] for a, b in offsets]
+        i = np.concatenate([np.flatnonzero(x >= 0) for x in near])
+        j = np.concatenate([x[x >= 0] for x in near])
+        best = np.arange(len(cell))
+        while True:
+            least = best.copy()
+            np.minimum.at(least, i, best[j])
+            np.minimum.at(least, best[i], best[j])  # the root of a cell takes the neighbour's root too
+            least = least[least]
+            if (least == best).all():
+                return pd.DataFrame({"cell": cell, "row": rows["row"].to_numpy(), "col": rows["col"].to_numpy(), "label": cell[best]})
+            best = least
+
+    return label
+
+
+def clump(cells: DataFrame, offsets=ROOK, *, tile: int = TILE) -> DataFrame:
+    """``cell, clump``: connected components of the table's cells (one a place), named by their least cell.
+
+    Tiles are labelled one by one; cells at a tile's edge meet their neighbours in the next one, and components are made of
+    those pairs of labels alone, so the rounds of the search follow the tiles that a clump crosses and not its cells.
+    """
+    kind = cells.schema["cell"].dataType.simpleString()
+    part = [F.floor(F.col(c) / tile).alias(n) for c, n in (("row", "tr"), ("col", "tc"))]
+    rows = cells.select(F.col("cell").cast("long").alias("cell"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *part)
+    local = materialise(rows.groupBy("tr", "tc").applyInPandas(_clumps_of_tile(offsets), "cell long, row long, col long, label long"), "local")
+    reach = max(max(abs(a), abs(b)) for a, b in offsets)
+    low = lambda c: F.pmod(F.col(c), F.lit(tile))
+    edge = local.where((low("row") < reach) | (low("row") >= tile - reach) | (low("col") < reach) | (low("col") >= tile - reach))
+    across = neighbours(edge.select(F.col("label").alias("cell"), "row", "col"), offsets).join(edge.select("row", "col", F.col("label").alias("b")), ["row", "col"])
+    names = connected_components(across.select(F.col("i").alias("a"), "b")).toDF("label", "clump")
+    return local.join(names, "label", "left").select(F.col("cell").cast(kind).alias("cell"), F.coalesce("clump", "label").cast(kind).alias("clump"))
 
 
 def keep_biggest(cells: DataFrame, clumps: DataFrame) -> DataFrame:

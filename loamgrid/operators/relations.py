@@ -75,13 +75,31 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, *, band: float = 1.0
     return placed.join(banded, "__band").where(straddles & left_of).groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
 
 
-def segment_cells(segments: DataFrame, *, per_unit: int = 4) -> DataFrame:
-    """``id, row, col`` of the cells that lie under straight segments, sampled ``per_unit`` times a cell."""
-    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    n = F.greatest(F.lit(1), F.ceil(length * per_unit)).cast("int")
-    at = segments.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    along = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n"))
-    return at.select("id", along("y1", "y2").alias("row"), along("x1", "x2").alias("col")).distinct()
+def segment_cells(segments: DataFrame, *, unit: int = 1024) -> DataFrame:
+    """``id, row, col`` of every cell that holds a point of a straight segment (x1, y1) to (x2, y2), ends included.
+
+    A cell holds its lower sides and not its upper ones, so a segment through a corner touches the cell of the corner alone.
+    Coordinates are taken to the nearest ``1 / unit``; from there on all is in whole numbers: for each column that a segment
+    crosses, the rows between its heights at the column's sides. Products must fit 64 bits.
+
+    Cases: a segment of no length has one cell; segments with a null have none; repeated ids are put together.
+    """
+    whole = lambda c: F.round(F.col(c) * unit).cast("long")
+    s = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select("id", *[whole(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    turn = F.col("x1") > F.col("x2")
+    ends = [F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    s = s.select("id", *ends).withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
+    below = lambda a, b: F.expr(f"(({a}) div ({b})) - if(({a}) % ({b}) < 0, 1, 0)")  # noqa: E731  floor for b > 0
+    column = s.withColumn("col", F.explode(F.sequence(below("x1", f"{unit}L"), below("x2", f"{unit}L"))))
+    # heights times dx at the sides of a column's part; the right side is out unless the segment ends there
+    left, right = f"greatest(col * {unit}L, x1)", f"least((col + 1) * {unit}L, x2)"
+    height = lambda x: f"(y1 * dx + ({x} - x1) * dy)"
+    low = F.when(F.col("dx") == 0, below("least(y1, y2)", f"{unit}L")).when(F.col("dy") >= 0, below(height(left), f"(greatest(dx, 1L) * {unit}L)")).otherwise(below(height(right), f"(greatest(dx, 1L) * {unit}L)"))
+    out = F.expr(f"x2 >= (col + 1) * {unit}L")
+    last = F.when(out & (F.col("dy") > 0), below(f"{height(right)} - 1", f"(greatest(dx, 1L) * {unit}L)")).otherwise(below(height(right), f"(greatest(dx, 1L) * {unit}L)"))
+    high = F.when(F.col("dx") == 0, below("greatest(y1, y2)", f"{unit}L")).when(F.col("dy") >= 0, last).otherwise(below(height(left), f"(greatest(dx, 1L) * {unit}L)"))
+    rows = column.select("id", "col", low.alias("low"), high.alias("high"))
+    return rows.select("id", F.explode(F.sequence("low", F.greatest("low", "high"))).alias("row"), "col").distinct()
 
 
 def best_overlap(a: DataFrame, b: DataFrame, cell: str = "cell") -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import dissection as S
 from ..operators import graph as N
 from ..operators import kernels as K
 from ..operators import relations as J
+from ..operators import spectral as V
 from .domain import GRID, PAIRS, grid, pairs, places
 from .registry import query
 
@@ -127,7 +128,7 @@ ORTHOGONAL = "SELECT k, l, (k = l)::INTEGER::DOUBLE AS dot, (k = l)::INTEGER::DO
 
 @query("num_pca_eig", ORTHOGONAL.format(5))
 def _(t):
-    return orthogonal(pairs(t), K.principal_components(pairs(t), 4), 4)
+    return orthogonal(pairs(t), V.top_eigenvectors(pairs(t), 4), 4)
 
 
 @query("num_scaffold_pca", ORTHOGONAL.format(4))
@@ -136,7 +137,7 @@ def _(t):
     from .domain import counts
 
     c = centred_covariance(counts(t)).select(F.col("j").alias("id1"), F.col("i").alias("id2"), F.col("cov").alias("value"))
-    return orthogonal(c, K.principal_components(c, 3), 3)
+    return orthogonal(c, V.top_eigenvectors(c, 3), 3)
 
 
 #: Cells that reach each target set along the edges, for the queries that solve an equation exactly: their SQL says
@@ -191,7 +192,7 @@ def _(t):
     w = walks(t)
     step = w.join(w.select("walker", (F.col("step") + 1).alias("step"), F.col("cell").alias("i")), ["walker", "step"], "left")
     step = step.join(edges(t).select("i", F.col("j").alias("cell"), F.lit(True).alias("edge")), ["i", "cell"], "left")
-    near = F.col("i").isNull() & (F.col("step") == 0) | F.coalesce("edge", F.lit(False)) | (F.col("i") == F.col("cell"))
+    near = F.col("i").isNull() & (F.col("step") == 0) | F.coalesce("edge", F.lit(False))  # each has an edge to go on by
     return step.groupBy("walker").agg(F.max("step").cast("long").alias("steps"), F.every(near).alias("neighbours"))
 
 

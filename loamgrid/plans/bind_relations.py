@@ -205,7 +205,18 @@ def _(t):
     return k.join(grid(t).where("l1 is not null").select("cell", "l2"), "cell", "left").select("id", "cell", "l2")
 
 
-@query("jn_line_cells")
+#: Another way: the stretch of a segment within a cell's columns and that within its rows overlap, in whole numbers (halves of a cell).
+LINES = POINTS + """, l AS (SELECT b.id, (a.x * 2)::BIGINT AS x1, (a.y * 2)::BIGINT AS y1, (b.x * 2)::BIGINT AS x2, (b.y * 2)::BIGINT AS y2 FROM s a JOIN s b ON b.id = a.id + 1),
+ b AS (SELECT *, c, r, abs(x2 - x1) AS dx, abs(y2 - y1) AS dy, greatest(abs(x2 - x1), 1) * greatest(abs(y2 - y1), 1) AS whole FROM (SELECT *, unnest(range(least(y1, y2) // 2, greatest(y1, y2) // 2 + 1)) AS r FROM (SELECT *, unnest(range(least(x1, x2) // 2, greatest(x1, x2) // 2 + 1)) AS c FROM l))),
+ t AS (SELECT id, r, c, whole, CASE WHEN x2 > x1 THEN (2 * c - x1) * greatest(dy, 1) WHEN x2 < x1 THEN (x1 - 2 * c - 2) * greatest(dy, 1) WHEN x1 // 2 = c THEN 0 ELSE whole + 1 END AS a1, x2 < x1 AS o1,
+  CASE WHEN x2 > x1 THEN (2 * c + 2 - x1) * greatest(dy, 1) WHEN x2 < x1 THEN (x1 - 2 * c) * greatest(dy, 1) ELSE whole END AS e1, x2 > x1 AS p1,
+  CASE WHEN y2 > y1 THEN (2 * r - y1) * greatest(dx, 1) WHEN y2 < y1 THEN (y1 - 2 * r - 2) * greatest(dx, 1) WHEN y1 // 2 = r THEN 0 ELSE whole + 1 END AS a2, y2 < y1 AS o2,
+  CASE WHEN y2 > y1 THEN (2 * r + 2 - y1) * greatest(dx, 1) WHEN y2 < y1 THEN (y1 - 2 * r) * greatest(dx, 1) ELSE whole END AS e2, y2 > y1 AS p2 FROM b),
+ u AS (SELECT *, greatest(a1, a2, 0) AS low, least(e1, e2, whole) AS high FROM t)
+ SELECT id, r AS row, c AS col FROM u WHERE low < high OR low = high AND NOT ((o1 AND a1 = low) OR (o2 AND a2 = low) OR (p1 AND e1 = high) OR (p2 AND e2 = high))"""
+
+
+@query("jn_line_cells", LINES)
 def _(t):
     p = points(t)
     step = p.select(F.col("id").alias("id0"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("id") + 1).alias("id"))
@@ -332,7 +343,10 @@ def _(t):
     return fixed_sample(t.part.select("p_partkey"), 300, ["p_partkey"], seed=9).orderBy("p_partkey")
 
 
-@query("smp_greedy_independent")
+#: One node after another by its hash, unless a rival is in already.
+@query("smp_greedy_independent", POINTS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT id, x, y, row_number() OVER (ORDER BY md5(id || '-3'), id) AS k FROM s), e AS (SELECT a.k AS k, list(b.k) AS rivals FROM o a JOIN o b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 36 GROUP BY a.k),
+ r(k, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN list_has_any(chosen, coalesce(e.rivals, []::BIGINT[])) THEN chosen ELSE list_append(chosen, o.k) END FROM r JOIN o ON o.k = r.k + 1 LEFT JOIN e ON e.k = o.k)
+ SELECT id FROM o WHERE k IN (SELECT unnest(chosen) FROM (SELECT chosen FROM r ORDER BY k DESC LIMIT 1))""")
 def _(t):
     from ..operators.sampling import independent_set
 

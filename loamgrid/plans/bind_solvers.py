@@ -138,11 +138,14 @@ def _(t):
     return t.spark.read.schema("n_nationkey int, n_name string, n_regionkey int").option("basePath", path).json(there)
 
 
-@query("srt_latest_file", "SELECT 'run-1.json' AS file")
+@query("srt_latest_file", "SELECT replace(r_name, ' ', '_') || '.json' AS file FROM (SELECT r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name) ORDER BY n DESC, file DESC LIMIT 1")
 def _(t):
+    """A file for each region, changed at a second that is its number of customers, beside one that isn't asked for."""
     path = new_path(t.spark, "runs")
     jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
-    for name, changed in (("run-0.json", 1_000_000), ("run-1.json", 3_000_000), ("run-2.json", 2_000_000), ("log.txt", 4_000_000)):
+    each = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    files = [(f"{r['r_name'].replace(' ', '_')}.json", 1000 * r["n"]) for r in each.collect()]  # a row a region
+    for name, changed in [*files, ("log.txt", 10**12)]:
         fixtures.write_bytes(t.spark, b"{}", f"{path}/{name}")
         p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         p.getFileSystem(conf).setTimes(p, changed, changed)

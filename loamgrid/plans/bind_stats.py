@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import custom
 from ..operators import raster as A
 from ..operators import relations as J
 from ..operators import stats as S
@@ -334,3 +336,26 @@ def _(t):
 
     known = places(t).select(F.lit(0).alias("grp"), (F.col("x") * 5).cast("double").alias("x"), (F.col("y") * 4).cast("double").alias("y"), F.col("v").cast("double").alias("z"))
     return smooth_surface(known, grid(t).select("cell", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")))
+
+
+# aggregates of the user's own
+
+
+def _spread_partial(c):
+    q, logs = c["l_quantity"].astype(float), np.log(c["l_extendedprice"].astype(float))
+    return len(q), float((1 / q).sum()), float(logs.sum()), float(logs.min()), float(logs.max())
+
+
+custom.register("spread", custom.Aggregate(
+    ["l_quantity", "l_extendedprice"],
+    _spread_partial,
+    lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4])),
+    lambda s: (s[0], s[0] / s[1], float(np.exp(s[2] / s[0])), float(np.exp(s[4] - s[3]))),
+    "n long, harmonic double, geometric double, ratio double",
+))
+
+
+@query("agg_custom", "SELECT l_suppkey, count(*) AS n, round(count(*) / sum(1 / l_quantity::DOUBLE), 6) AS harmonic, round(exp(avg(ln(l_extendedprice::DOUBLE))), 3) AS geometric, round(max(l_extendedprice::DOUBLE) / min(l_extendedprice::DOUBLE), 6) AS ratio FROM lineitem GROUP BY l_suppkey")
+def _(t):
+    r = custom.aggregate_by(t.lineitem, ["l_suppkey"], "spread")
+    return r.select("l_suppkey", "n", R("harmonic").alias("harmonic"), R("geometric", 3).alias("geometric"), R("ratio").alias("ratio"))

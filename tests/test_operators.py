@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import counts, graph, kernels, knn, raster, relations, sampling, stats
+from loamgrid.operators import counts, graph, kernels, knn, raster, relations, sampling, spectral, stats
 from loamgrid.operators.components import connected_components
 from loamgrid.sources import fixtures, readers
 from loamgrid.sources.scratch import new_path
@@ -173,7 +173,7 @@ def test_binary_counts_round_trip(spark):
 def test_principal_components_of_a_line(spark):
     x = [0.0, 1.0, 3.0, 7.0]
     pairs = spark.createDataFrame([(i, j, x[i] * x[j]) for i in range(4) for j in range(i, 4)], "id1 long, id2 long, value double")
-    r = kernels.principal_components(pairs, 1).orderBy("id").collect()
+    r = spectral.top_eigenvectors(pairs, 1).orderBy("id").collect()
     assert r[0]["share1"] == pytest.approx(1) and [v["pc1"] for v in r] == sorted(v["pc1"] for v in r)
 
 
