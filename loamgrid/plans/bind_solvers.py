@@ -121,8 +121,9 @@ SUMS = ", ".join(f"sum(w * {e}) AS {n}" for n, e in (("n", "1"), ("sx", "x"), ("
 
 
 @query("ras_loess_share", NEAR + f""", k2 AS (SELECT greatest(1, floor(count(*) * {SHARE} + 1e-5)) AS k FROM k), r AS (SELECT cell, max(d2) AS reach FROM n, k2 WHERE place <= k GROUP BY cell),
- w AS (SELECT n.cell, {TRICUBE} AS w, n.x - g.col AS x, n.y - g.row AS y, n.v::DOUBLE AS v FROM n JOIN r ON n.cell = r.cell JOIN g ON g.cell = n.cell, k2 WHERE place <= k AND d2 < reach), m AS (SELECT cell, {SUMS} FROM w GROUP BY cell)
- SELECT cell, round((z * (xx * yy - xy * xy) - xz * (sx * yy - sy * xy) + yz * (sx * xy - sy * xx)) / (n * (xx * yy - xy * xy) - sx * (sx * yy - sy * xy) + sy * (sx * xy - sy * xx)) / 100, 4) AS z FROM m""")
+ w AS (SELECT n.cell, {TRICUBE} AS w, n.x - g.col AS x, n.y - g.row AS y, n.v::DOUBLE AS v FROM n JOIN r ON n.cell = r.cell JOIN g ON g.cell = n.cell, k2 WHERE place <= k AND d2 < reach), m AS (SELECT cell, {SUMS} FROM w GROUP BY cell),
+ e AS (SELECT *, z * (xx * yy - xy * xy) - xz * (sx * yy - sy * xy) + yz * (sx * xy - sy * xx) AS top, n * (xx * yy - xy * xy) - sx * (sx * yy - sy * xy) + sy * (sx * xy - sy * xx) AS det FROM m)
+ SELECT cell, round(CASE WHEN abs(det) > 1e-9 * n * (xx + yy) * (xx + yy) THEN top / det ELSE z / n END / 100, 4) AS z FROM e""")
 def _(t):
     return H.loess(stations(t), spots(t), SHARE).select(F.col("a_id").alias("cell"), R(F.col("z") / 100, 4).alias("z"))
 
