@@ -12,7 +12,9 @@ Packing runs per block: the documents of one input partition, at most
 ``block_tokens`` tokens at a time. Memory is bounded by the block, no row is
 shuffled, and a retried task gives the same blocks.
 
-Cases: a null or empty text holds the end id alone; repeated rows are packed
+Cases: a null or empty text holds the end id alone; a very long text is coded
+whole and ends its block; pieces of one length go in the order of the rows, and
+of windows with equal room the one that got it last is taken; repeated rows are packed
 once per row; a null doc_id stays null; further columns are ignored; an empty
 table gives an empty table.
 """

@@ -4,7 +4,9 @@ Every metric and every rule is a column expression; no user function runs. The
 rules compare integers (``100 * numerator`` with ``percent * denominator``), so
 SQL gives the same verdicts.
 
-Cases: a null or empty text has no words and fails the base rule; repeated rows
+Cases: a null or empty text has no words and fails the base rule; a very long
+text is read whole, its words and windows held in one row; a metric that equals
+its threshold keeps the text, nothing else is ranked; repeated rows
 give a row each; a null doc_id stays null; further columns are ignored; an empty
 table gives an empty table.
 """

@@ -8,7 +8,8 @@ A pre-token here is a run that starts at a space followed by a visible
 character. A byte-level tokenizer always cuts at such a place, so a run's count
 doesn't depend on its neighbours.
 
-Cases: a null or empty text has 0 tokens; repeated rows give a row each; a null
+Cases: a null or empty text has 0 tokens; a very long text is counted whole;
+nothing is ranked, so there are no ties; repeated rows give a row each; a null
 doc_id stays null; further columns are ignored; an empty table gives an empty
 table.
 """
