@@ -106,9 +106,18 @@ def _(t):
     return S.ols_f(t.orders, "o_totalprice", "o_custkey", ["o_orderpriority"]).select("o_orderpriority", R("r2", 8).alias("r2"), R("f", 4).alias("f"))
 
 
-@query("agg_ols_pvalue")
+#: Another way to the same p-value: Student's distribution as a finite sum of powers of a cosine.
+PVALUE = """WITH g AS (SELECT o_orderpriority, regr_r2(o_totalprice, o_custkey) AS r2, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT *, r2 * (n - 2) / (1 - r2) AS f, n - 2 AS v, atan(sqrt(r2 / (1 - r2))) AS th FROM g),
+ s AS (SELECT *, unnest(range(0, CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END)) AS k FROM a),
+ e AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN v % 2 = 0 THEN ln((2 * k - 1) / (2 * k)::DOUBLE) + 2 * ln(cos(th)) ELSE ln(2 * k / (2 * k + 1)::DOUBLE) + 2 * ln(cos(th)) END AS step FROM s),
+ c AS (SELECT *, exp(sum(step) OVER (PARTITION BY o_orderpriority ORDER BY k)) AS term FROM e)
+ SELECT o_orderpriority, round(any_value(r2), 8) AS r2, any_value(n) AS n, round(any_value(f), 4) AS f, round(1 - CASE WHEN any_value(v) % 2 = 0 THEN sin(any_value(th)) * sum(term) ELSE 2 / pi() * (any_value(th) + sin(any_value(th)) * cos(any_value(th)) * sum(term)) END, 6) AS p FROM c GROUP BY o_orderpriority"""
+
+
+@query("agg_ols_pvalue", PVALUE)
 def _(t):
-    return S.add_f_pvalue(S.ols_f(t.orders, "o_totalprice", "o_custkey", ["o_orderpriority"]))
+    r = S.add_f_pvalue(S.ols_f(t.orders, "o_totalprice", "o_custkey", ["o_orderpriority"]))
+    return r.select("o_orderpriority", R("r2", 8).alias("r2"), "n", R("f", 4).alias("f"), R("p").alias("p"))
 
 
 @query("agg_cov_adjust", "WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, avg(o_custkey) AS m FROM orders) SELECT o_orderkey, round(o_totalprice - b * (o_custkey - m), 4) AS adjusted FROM orders, f")
