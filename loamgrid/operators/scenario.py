@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+from .relations import small
 
-def pair_scenario(pairs: DataFrame, *, share: float = 0.4) -> DataFrame:
+
+def pair_scenario(pairs: DataFrame, *, share: float = 0.4, limits: DataFrame | None = None) -> DataFrame:
     """Per reference the mean, greatest, least and relative change over its nearby references.
 
     ``pairs``: id1 <= id2, base, alt. Nearby are those whose base value is below
-    the ``share`` quantile of the reference's row, itself included.
+    the ``share`` quantile of the reference's row, itself included. Where these quantiles are known, ``limits``
+    (id1, q) gives them, and ``pairs`` has both orders of each pair.
     """
-    both = pairs.select("id1", "id2", "base", "alt")
-    m = both.union(both.where("id1 <> id2").select("id2", "id1", "base", "alt"))
-    q = m.groupBy("id1").agg(F.percentile("base", F.lit(share)).alias("q"))
+    m, q = pairs.select("id1", "id2", "base", "alt"), limits
+    if q is None:
+        m = m.union(m.where("id1 <> id2").select("id2", "id1", "base", "alt"))
+        q = m.groupBy("id1").agg(F.percentile("base", F.lit(share)).alias("q"))
+    q = materialise(q, "limits")
     d = F.col("alt") - F.col("base")
-    near = m.join(q, "id1").where("base < q")
+    near = m.join(small(q), "id1").where("base < q")
     out = near.groupBy("id1").agg(F.avg(d).alias("mean"), F.avg(d / (1.0 + F.col("base"))).alias("rel"), F.max(d).alias("hi"), F.min(d).alias("lo"))
     return q.select("id1").join(out, "id1", "left")
 

@@ -53,3 +53,30 @@ def test_contigs_of_one_roster(spark, no_small_tables):
     """A task holds a contig's partners, not all pairs of an individual's contigs."""
     p = plan(bindings.QUERIES["agg_contig_cor"](spark, SF))
     assert "collect_list" not in p and "Generate" not in p
+
+
+@pytest.mark.parametrize("seed, n, spread", [(1, 1, 3), (2, 2, 1), (3, 40, 6), (4, 60, 1000), (5, 31, 2)])
+def test_distances_without_pairs(spark, seed, n, spread):
+    """Quantiles and weighted medians of distances, with many ties, as from the table of pairs."""
+    from loamgrid.operators import apart, stats
+
+    rng = np.random.default_rng(seed)
+    v, w = rng.integers(-spread, spread + 1, n), rng.integers(1, 4, n)
+    roster = spark.createDataFrame([(i, int(v[i]), int(w[i])) for i in range(n)] + [(n, None, 1)], "id long, v long, w long")
+    apart_ = np.abs(v[:, None] - v[None])
+    got = {r["id"]: r for r in apart.quantiles(roster, {"a": 0.4, "b": 0.025, "c": 0.5, "d": 1.0}).collect()}
+    assert len(got) == n
+    for i in range(n):
+        assert [got[i][k] for k in "abcd"] == pytest.approx(list(np.quantile(apart_[i], [0.4, 0.025, 0.5, 1.0])), abs=1e-12)
+    every = apart_[np.triu_indices(n)]
+    assert apart.pair_quantiles(roster, [0.0, 0.025, 0.5, 0.975]) == pytest.approx(list(np.quantile(every, [0.0, 0.025, 0.5, 0.975])), abs=1e-12)
+    d = spark.createDataFrame([(i, float(apart_[i, j]), int(w[j])) for i in range(n) for j in range(n) if i != j], "id long, x double, w long")
+    want = {r["id"]: r["wmedian"] for r in stats.weighted_median(d, "x", "w", ["id"]).collect()}
+    found = {r["id"]: r["wmedian"] for r in apart.weighted_medians(roster).collect()}
+    assert found.keys() == want.keys() and all(found[k] == (want[k] if want[k] is None else pytest.approx(want[k], abs=1e-12)) for k in want)
+
+
+@pytest.mark.parametrize("name", ["agg_quantile", "agg_tail_pairs", "agg_residual_outlier", "agg_scenario_summary", "flt_accessible", "prj_winsorize"])
+def test_quantiles_hold_no_pairs(spark, name):
+    p = plan(bindings.QUERIES[name](spark, SF)).lower()
+    assert "percentile" not in p and "window" not in p
