@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from loamgrid.operators import fitting
+from loamgrid.operators import fitting, kernels, relations
 
 
 def full_search(d):
@@ -49,3 +49,33 @@ def test_tree_of_a_larger_roster(spark):
     tree = fitting.neighbour_joining(p).toPandas()
     assert time.time() - start < 12
     assert (tree["node"] >= 0).sum() == 1500 and tree["length"].sum() == pytest.approx(x.max() - x.min())
+
+
+def gathered_scales(v, x, rounds):
+    """The fit of all pairs in one matrix."""
+    n = len(v)
+    i, j = np.triu_indices(n, 1)
+    pi, d = np.abs(v[i] - v[j]), np.abs(x[i] - x[j])
+    i, j, pi, d = i[pi > 0], j[pi > 0], pi[pi > 0], d[pi > 0]
+    m = np.zeros((len(pi), n))
+    m[np.arange(len(pi)), i] = m[np.arange(len(pi)), j] = 1
+    base, c, a = pi.mean(), np.ones(n), 0.0
+    for _ in range(rounds):
+        a = ((pi / (c[i] * c[j]) - base) @ d) / (d @ d)
+        c = np.exp(np.linalg.lstsq(m, np.log(pi / np.maximum(a * d + base, 1e-12)), rcond=None)[0])
+    return c, a
+
+
+@pytest.mark.parametrize("n, ties", [(7, False), (8, False), (30, True), (1, False)])
+def test_scales_of_a_roster_without_its_pair_table(spark, monkeypatch, n, ties):
+    """Pairs of equal values don't count; no table of pairs is made."""
+    monkeypatch.setattr(relations, "all_pairs", None)
+    rng = np.random.default_rng(n)
+    v, x = (rng.integers(0, 4, n) if ties else rng.permutation(n) + 1.0) * 1.0, rng.random(n)
+    roster = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, x))], "id long, v double, x double")
+    got = kernels.scale_by_individual(roster, "id", ["v", "x"], lambda p, q: abs(p["v"] - q["v"]), lambda p, q: abs(p["x"] - q["x"]), rounds=4, tolerance=0).orderBy("id").collect()
+    if n == 1:
+        assert got == []
+        return
+    c, a = gathered_scales(v, x, 4)
+    assert np.allclose([r["c"] for r in got], c) and got[0]["a"] == pytest.approx(a)
