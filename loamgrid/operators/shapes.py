@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .knn import k_nearest
-from .relations import within_distance
+from .relations import ROSTER, within_distance
+
+#: Places whose planes a task fits.
+PLACES = 5000
 
 
 def procrustes(points: DataFrame, key: str) -> DataFrame:
@@ -40,16 +45,70 @@ def local_surface(points: DataFrame, at: DataFrame, radius: float) -> DataFrame:
 def loess(points: DataFrame, at: DataFrame, share: float) -> DataFrame:
     """``a_id, z``: like ``local_surface``, each plane fitted to the nearest ``share`` of the points; the furthest of them has no weight.
 
-    At least one point; those of a place that all lie as far away as the furthest count alike.
+    At least one point; those of a place that all lie as far away as the furthest count alike. Up to ``ROSTER`` points are
+    broadcast and nothing but the places is moved; the work is places times neighbours.
     """
     there = points.where("z is not null")
-    k = max(1, int(there.count() * share + 1e-5))
+    n = there.count()
+    k = max(1, int(n * share + 1e-5))
+    if n <= ROSTER:
+        return _streamed_planes(there, at, k)
     near = k_nearest(at, there, k)
     reach = near.groupBy("a_id").agg(F.max("d2").alias("reach"), F.min("d2").alias("least"))
     near = near.join(reach, "a_id").where("d2 < reach or least = reach").join(at, "a_id").join(there, "b_id")
     return _planes(near.withColumn("d2", F.when(F.col("least") == F.col("reach"), 0.0).otherwise(F.col("d2"))), F.greatest("reach", F.lit(1e-300)))
 
 
+def _streamed_planes(points: DataFrame, at: DataFrame, k: int) -> DataFrame:
+    """``loess`` by the ``k`` nearest points of a broadcast roster: a task holds one place's neighbours at a time.
+
+    Points are sorted along the longer side; the k nearest along it bound the reach, so only those within it are looked at.
+    """
+    real = lambda c: F.col(c).cast("double").alias(c)
+    p = points.select("b_id", real("bx"), real("by"), real("z")).toPandas().dropna(subset=["bx", "by"])
+    long, short = ("ax", "ay") if not len(p) or np.ptp(p["bx"]) >= np.ptp(p["by"]) else ("ay", "ax")
+    p = p.sort_values("b" + long[1])
+    shared = at.sparkSession.sparkContext.broadcast((p["b_id"].to_numpy(), p["b" + long[1]].to_numpy(), p["b" + short[1]].to_numpy(), p["z"].to_numpy()))
+
+    def fit(u: float, v: float) -> float:
+        ids, along, across, z = shared.value
+        n = min(k, len(along))
+        # the k nearest along the axis, by bisection of where they start
+        low, high = 0, len(along) - n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if u - along[mid] > along[mid + n] - u else (low, mid)
+        d2 = (along[low : low + n] - u) ** 2 + (across[low : low + n] - v) ** 2
+        most = np.sqrt(d2.max()) * (1 + 1e-12)
+        near = slice(np.searchsorted(along, u - most, "left"), np.searchsorted(along, u + most, "right"))
+        x, y, z = along[near] - u, across[near] - v, z[near]
+        d2 = x * x + y * y
+        reach = np.partition(d2, n - 1)[n - 1]
+        if d2.min() == reach:  # all as far: they count alike
+            use = np.flatnonzero(d2 == reach)
+            use = use[np.argsort(ids[near][use], kind="stable")[:n]]
+            w = np.ones(len(use))
+        else:
+            use = np.flatnonzero(d2 < reach)
+            r = d2[use] / reach
+            w = (1 - r * np.sqrt(r)) ** 3
+        x, y, z = x[use], y[use], z[use]
+        wx, wy = w * x, w * y
+        m, sx, sy, xx, xy, yy, sz, xz, yz = w.sum(), wx.sum(), wy.sum(), wx @ x, wx @ y, wy @ y, w @ z, wx @ z, wy @ z
+        det = m * (xx * yy - xy * xy) - sx * (sx * yy - sy * xy) + sy * (sx * xy - sy * xx)
+        top = sz * (xx * yy - xy * xy) - xz * (sx * yy - sy * xy) + yz * (sx * xy - sy * xx)
+        return top / det if abs(det) > 1e-9 * m * (xx + yy) * (xx + yy) else sz / m
+
+    def run(batches):
+        for b in batches:
+            b = b[b["ax"].notna() & b["ay"].notna()] if len(shared.value[0]) else b[:0]
+            yield pd.DataFrame({"a_id": b["a_id"], "z": np.array([fit(u, v) for u, v in zip(b[long], b[short])], float)})
+
+    kind = at.schema["a_id"].dataType.simpleString()
+    places = at.select("a_id", real("ax"), real("ay")).where("ax is not null and ay is not null")
+    return places.repartition(max(1, -(-places.count() // PLACES)), "a_id").mapInPandas(run, f"a_id {kind}, z double")
+
+
 def _planes(near: DataFrame, reach2) -> DataFrame:
     """``a_id, z`` of planes fitted to the points near each place, with tricube weights up to a squared distance."""
     u = F.pow(F.col("d2") / reach2, 1.5)

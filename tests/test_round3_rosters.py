@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from loamgrid.operators import fitting, kernels, relations
+from loamgrid.operators import fitting, kernels, relations, shapes
 
 
 def full_search(d):
@@ -79,3 +79,23 @@ def test_scales_of_a_roster_without_its_pair_table(spark, monkeypatch, n, ties):
         return
     c, a = gathered_scales(v, x, 4)
     assert np.allclose([r["c"] for r in got], c) and got[0]["a"] == pytest.approx(a)
+
+
+def test_planes_without_a_table_of_neighbours(spark, monkeypatch):
+    """The broadcast points give the planes of the table of neighbours, which isn't made: it has places times neighbours rows."""
+    rng = np.random.default_rng(5)
+    pts = [(k, float(rng.integers(0, 9)), float(rng.integers(0, 30)), float(rng.integers(0, 100))) for k in range(80)] + [(80, None, 1.0, 2.0), (81, 3.0, 3.0, None)]
+    at = spark.createDataFrame([(k, float(rng.integers(-3, 12)), float(rng.integers(-3, 33))) for k in range(60)] + [(60, None, 1.0)], "a_id long, ax double, ay double")
+    points = spark.createDataFrame(pts, "b_id long, bx double, by double, z double")
+    made = []
+    right = shapes.k_nearest
+    monkeypatch.setattr(shapes, "k_nearest", lambda *a: made.append(1) or right(*a))
+    for share in (0.3, 0.02, 1.0):
+        got = {r["a_id"]: r["z"] for r in shapes.loess(points, at, share).collect()}
+        assert not made
+        with monkeypatch.context() as m:
+            m.setattr(shapes, "ROSTER", 0)
+            want = {r["a_id"]: r["z"] for r in shapes.loess(points, at, share).collect()}
+        made.clear()
+        assert len(want) == 60 and got == pytest.approx(want)
+    assert shapes.loess(points.where("false"), at, 0.5).count() == 0
