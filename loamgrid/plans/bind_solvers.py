@@ -13,7 +13,7 @@ from ..sources import files as E
 from ..sources import fixtures
 from ..sources.scratch import materialise, new_path
 from .bind_fitting import COARSE, TRUE, coarse, goals, model_edges
-from .bind_graph import REACHED, edges, targets
+from .bind_graph import REACHED, cells, edges, targets
 from .domain import GRID, PAIRS, grid, places
 from .registry import query
 
@@ -44,7 +44,7 @@ def _(t):
 
 @query("num_colinearity")
 def _(t):
-    return L.gradient_covariance(K.hitting_sensitivity(edges(t), targets(t)))
+    return L.gradient_covariance(K.hitting_sensitivity(edges(t), targets(t), cells(t)))
 
 
 #: The places mirrored, scaled and moved come back to where they were.
