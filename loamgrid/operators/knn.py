@@ -20,6 +20,13 @@ from ..sources.scratch import materialise
 LEAF, CROWD = 8, 16
 #: Exponents of the number of squares a side: at first (two at most), and at last.
 FIRST, LAST = 2, 28
+#: Places of a task at most, about: so its memory doesn't grow with the table.
+PLACES = 20_000
+
+
+def dealt(df: DataFrame, places: int, *keys: str) -> DataFrame:
+    """The rows of ``places`` places dealt to tasks by their keys."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-places // PLACES)), *keys)
 
 
 def k_nearest(a: DataFrame, b: DataFrame, k: int, *, a_cols=("a_id", "ax", "ay"), b_cols=("b_id", "bx", "by")) -> DataFrame:
@@ -58,7 +65,10 @@ def k_nearest(a: DataFrame, b: DataFrame, k: int, *, a_cols=("a_id", "ax", "ay")
             return squares.select("qx", "qy", *box)
         return squares.groupBy(F.shiftright("qx", up).alias("qx"), F.shiftright("qy", up).alias("qy")).agg(F.sum("n").alias("n"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
 
+    many = places.count()
+
     def may_hold(state: DataFrame) -> DataFrame:
+        state = dealt(state, many, "px", "py")
         by = Window.partitionBy("px", "py")
         full = F.sum("n").over(by.orderBy("far", "qx", "qy").rowsBetween(Window.unboundedPreceding, 0))
         state = state.withColumn("far", sq(across("x1", "x2", "px")) + sq(across("y1", "y2", "py"))).withColumn("near", sq(away("x1", "x2", "px")) + sq(away("y1", "y2", "py")))
@@ -74,7 +84,7 @@ def k_nearest(a: DataFrame, b: DataFrame, k: int, *, a_cols=("a_id", "ax", "ay")
         state = state.select("px", "py", F.col("qx").alias("ux"), F.col("qy").alias("uy")).join(inner, ["ux", "uy"])
         state = may_hold(state)
     met = state.join(placed, ["qx", "qy"]).select("px", "py", "id", (sq(F.col("x") - F.col("px")) + sq(F.col("y") - F.col("py"))).alias("d2"))
-    met = met.withColumn("place", F.row_number().over(Window.partitionBy("px", "py").orderBy("d2", "id"))).where(F.col("place") <= k)
+    met = dealt(met, many, "px", "py").withColumn("place", F.row_number().over(Window.partitionBy("px", "py").orderBy("d2", "id"))).where(F.col("place") <= k)
     return places.join(met, ["px", "py"]).select(F.col("aid").alias(ai), F.col("id").alias(bi), "d2", "place")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import k_nearest
+from .knn import dealt, k_nearest
 from .relations import within_distance
 
 #: Places whose systems are solved at once.
@@ -60,7 +60,7 @@ def kriging_weights(known: DataFrame, targets: DataFrame, *, neighbours: int, wi
     ``exp(-d / width)``, with ``nugget`` added between a point and itself, both relative to the sill. ``penalty`` is the
     multiplier that makes the weights add up to 1.
     """
-    near = k_nearest(targets, known, neighbours).join(known, "b_id").join(targets, "a_id")
+    near = dealt(k_nearest(targets, known, neighbours).join(known, "b_id").join(targets, "a_id"), targets.count(), "a_id")
     real = lambda c: F.col(c).cast("double")
     each = near.groupBy("a_id").agg(F.collect_list(F.struct("place", "b_id", (real("bx") - real("ax")).alias("x"), (real("by") - real("ay")).alias("y"))).alias("near"))  # of ``neighbours`` rows
 
@@ -105,4 +105,4 @@ def krige(known: DataFrame, targets: DataFrame, *, neighbours: int = 16, width:
         width, sill, own = fit_width(variogram(spots.select(F.col("b_id").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"), "z"), lag, bins))
         nugget = own / sill if sill else 0.0
     w = kriging_weights(spots.select("b_id", "bx", "by"), targets, neighbours=neighbours, width=width, nugget=nugget)
-    return w.join(spots.select("b_id", "z"), "b_id").groupBy("a_id").agg(F.sum(F.col("weight") * F.col("z")).alias("z"))
+    return dealt(w.join(spots.select("b_id", "z"), "b_id"), targets.count(), "a_id").groupBy("a_id").agg(F.sum(F.col("weight") * F.col("z")).alias("z"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as N
 from ..operators import kernels as K
+from ..operators import knn
 from ..operators import kriging as Y
 from ..operators import shapes as H
 from ..operators import solvers as L
@@ -100,7 +101,7 @@ def _(t):
 def _(t):
     known, at = stations(t), spots(t)
     w = materialise(Y.kriging_weights(known, at, neighbours=12, width=WIDTH), "weights")
-    own = w.join(known, "b_id").join(at, "a_id")
+    own = knn.dealt(w.join(known, "b_id").join(at, "a_id"), at.count(), "a_id")
     other = own.select("a_id", F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("weight").alias("other"))
     like = lambda x1, y1, x2, y2: F.exp(-F.sqrt((F.col(x1) - F.col(x2)) * (F.col(x1) - F.col(x2)) + (F.col(y1) - F.col(y2)) * (F.col(y1) - F.col(y2))) / WIDTH)
     off = own.join(other, "a_id").groupBy("a_id", "b_id").agg((F.sum(F.col("other") * like("bx", "by", "cx", "cy")) + F.first("penalty") - F.first(like("ax", "ay", "bx", "by"))).alias("off"))

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from loamgrid.operators import fitting, kernels, relations, shapes
+from loamgrid.operators import fitting, kernels, knn, kriging, relations, shapes
 
 
 def full_search(d):
@@ -99,3 +99,13 @@ def test_planes_without_a_table_of_neighbours(spark, monkeypatch):
         made.clear()
         assert len(want) == 60 and got == pytest.approx(want)
     assert shapes.loess(points.where("false"), at, 0.5).count() == 0
+
+
+def test_places_of_a_task_are_bounded(spark, monkeypatch):
+    """More places are more tasks, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(knn, "PLACES", 10)
+    at = spark.range(200).selectExpr("id as a_id", "id % 20 as ax", "id div 20 as ay")
+    known = spark.range(30).selectExpr("id as b_id", "cast(id % 6 as double) as bx", "cast(id div 6 as double) as by", "1.0 as z")
+    got = kriging.krige(known, at, neighbours=3, width=2.0)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 200
+    assert knn.k_nearest(at, known, 3).count() == 600
