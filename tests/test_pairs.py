@@ -80,3 +80,36 @@ def test_distances_without_pairs(spark, seed, n, spread):
 def test_quantiles_hold_no_pairs(spark, name):
     p = plan(bindings.QUERIES[name](spark, SF)).lower()
     assert "percentile" not in p and "window" not in p
+
+
+@pytest.mark.parametrize("name", ["prj_fill", "prj_pair_midpoint", "flt_nonself", "flt_same_group", "jn_double_lookup"])
+def test_pairs_of_a_row_are_handed_on_by_stretches(spark, no_small_tables, name):
+    """A join by itself holds all pairs of a row before it hands on the first, and tries the half that isn't wanted as well."""
+    p = plan(bindings.QUERIES[name](spark, SF))
+    assert p.index("Generate inline") < p.index("Coalesce") < p.index("BroadcastNestedLoopJoin")
+    assert "__last" in p[p.index("BroadcastNestedLoopJoin") :].split("\n")[0]
+
+
+@pytest.mark.parametrize("both", [False, True])
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_pairs_across_stretches(spark, monkeypatch, both, diagonal):
+    """Ids of text, some twice, nulls beside them, many more than a stretch holds; a roster beyond the broadcast; an empty one."""
+    monkeypatch.setattr(relations, "STRETCH", 4)
+    monkeypatch.setattr(relations, "PAIR_ROWS", 9)
+    roster = [(f"s{k % 37}", k if k % 5 else None) for k in range(41)]
+    df = spark.createDataFrame([*roster, (None, 1)], "id string, v long")
+    wanted = (lambda a, b: diagonal or a != b) if both else (lambda a, b: a < b or (diagonal and a == b))
+    want = sorted(((a, v, b, w) for a, v in roster for b, w in roster if wanted(a, b)), key=repr)
+    take = lambda d: sorted(((r["id1"], r["v_1"], r["id2"], r["v_2"]) for r in relations.all_pairs(d, "id", diagonal=diagonal, both=both, columns=("v",)).collect()), key=repr)
+    assert take(df) == want and take(df.where("false")) == []
+    monkeypatch.setattr(relations, "ROSTER", 10)
+    assert take(df) == want
+
+
+def test_ends_of_pairs(spark):
+    """The first match of a sample by the order, null without one; the pairs themselves are all there."""
+    ids = spark.createDataFrame([(k,) for k in range(5)], "id long")
+    dim = spark.createDataFrame([(0, 2, "b"), (0, 1, "a"), (3, 1, "c"), (4, 1, None)], "key long, at long, name string")
+    got = {(r["id1"], r["id2"]): (r["name_1"], r["name_2"]) for r in relations.looked_up_pairs(ids, "id", dim, "key", "at", "name", diagonal=True).collect()}
+    want = {(r["id1"], r["id2"]): (r["name_1"], r["name_2"]) for r in relations.double_lookup(relations.all_pairs(ids, "id", diagonal=True), dim, ("id1", "id2"), "key", "at", "name").collect()}
+    assert len(got) == 15 and got == want and got[0, 3] == ("a", "c") and got[1, 4] == (None, None)
