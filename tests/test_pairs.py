@@ -82,7 +82,7 @@ def test_quantiles_hold_no_pairs(spark, name):
     assert "percentile" not in p and "window" not in p
 
 
-@pytest.mark.parametrize("name", ["prj_fill", "prj_pair_midpoint", "flt_nonself", "flt_same_group", "jn_double_lookup"])
+@pytest.mark.parametrize("name", ["prj_fill", "prj_pair_midpoint", "flt_nonself", "flt_upper_tri", "flt_same_group", "jn_double_lookup"])
 def test_pairs_of_a_row_are_handed_on_by_stretches(spark, no_small_tables, name):
     """A join by itself holds all pairs of a row before it hands on the first, and tries the half that isn't wanted as well."""
     p = plan(bindings.QUERIES[name](spark, SF))
