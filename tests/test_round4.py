@@ -55,3 +55,27 @@ def test_first_cross_where_half_falls_between_events(spark, tmp_path):
     got = bindings.QUERIES["win_first_cross"](spark, str(tmp_path)).toPandas()
     assert dict(zip(got["user_id"], got["event_id"])) == {1: 3, 2: 13, 4: 31}
     assert rows_of(got) == rows_of(con.sql(bindings.ORACLE_SQL["win_first_cross"]).df())
+
+
+def test_walks_by_tiles(spark, monkeypatch):
+    """Walks by tiles are those of the whole model, which is collected nowhere, nor is a grid broadcast."""
+    monkeypatch.setattr(kernels, "TILE", 8)
+    rng = np.random.default_rng(5)
+    rows = [(40 * r + c, r, c, float(rng.normal())) for r in range(30) for c in range(30) if rng.random() > 0.2]
+    cells = spark.createDataFrame(rows, "cell long, row long, col long, a double").localCheckpoint()
+    edges = graph.generator(cells, ["a"], beta=0.3, gamma=(0.1, 0.5), delta=(0.1, 0.4))
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+    edges = edges.localCheckpoint()
+    walkers = cells.select(F.col("cell").alias("walker"), "cell")
+    kind = {"steps": 6, "seed": 2}
+    want = sorted(map(tuple, kernels.walked_paths(edges, walkers, **kind).collect()))
+    monkeypatch.setattr(kernels, "_generator", None)
+    paths = kernels.walked_paths(edges, walkers, cells=cells, **kind)
+    assert sorted(map(tuple, paths.collect())) == want and len(want) == len(rows)
+    first = {(w, c): path.index(c) for w, path in want for c in path}
+    assert {(r["walker"], r["cell"]): r["step"] for r in kernels.first_hits(paths).collect()} == first
+
+
+def test_pairs_of_prj_sym_are_not_shuffled(spark):
+    p = bindings.QUERIES["prj_sym"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in p and "HashJoin" not in p
