@@ -38,7 +38,7 @@ def local_surface(points: DataFrame, at: DataFrame, radius: float) -> DataFrame:
 
     Tricube weights; where the points lie on a line or on one spot their weighted mean; places without a point have no row.
     """
-    near = within_distance(at, points, radius).where(F.col("d2") < radius * radius).join(at, "a_id").join(points.where("z is not null"), "b_id")
+    near = within_distance(at, points.where("z is not null"), radius, keep=("ax", "ay", "bx", "by", "z")).where(F.col("d2") < radius * radius)
     return _planes(near, F.lit(float(radius * radius)))
 
 

@@ -79,3 +79,9 @@ def test_walks_by_tiles(spark, monkeypatch):
 def test_pairs_of_prj_sym_are_not_shuffled(spark):
     p = bindings.QUERIES["prj_sym"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in p and "HashJoin" not in p
+
+
+def test_surface_broadcasts_nothing(spark):
+    """Places and points are as many as a grid's cells, whatever the size of its file."""
+    p = bindings.QUERIES["ras_loess"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in p and p.count("SortMergeJoin") == 1
