@@ -85,3 +85,18 @@ def test_surface_broadcasts_nothing(spark):
     """Places and points are as many as a grid's cells, whatever the size of its file."""
     p = bindings.QUERIES["ras_loess"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in p and p.count("SortMergeJoin") == 1
+
+
+def test_pair_files_are_compressed(spark, tmp_path, monkeypatch):
+    """The files of a pair table are several times smaller than its plain text, and read back whole."""
+    import os
+
+    from loamgrid.plans import bind_fitting, bind_sources
+
+    for name, module, most in (("src_pair_csv", bind_sources, 8), ("snk_pair_csv", bind_sources, 8), ("src_sub_hts", bind_fitting, 8), ("snk_sub_hts", bind_fitting, 8)):
+        path = f"{tmp_path}/{name}"
+        monkeypatch.setattr(module, "new_path", lambda spark, name, path=path: path)
+        rows = bindings.QUERIES[name](spark, "/root/testdata/sf0.1").count()
+        parts = [f for f in os.listdir(path) if f.startswith("part-")]
+        assert rows in (500_500, 499_500) and all(f.endswith((".csv.gz", ".zstd.parquet")) for f in parts)
+        assert sum(os.path.getsize(f"{path}/{f}") for f in parts) < most * rows
