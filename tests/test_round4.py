@@ -100,3 +100,17 @@ def test_pair_files_are_compressed(spark, tmp_path, monkeypatch):
         parts = [f for f in os.listdir(path) if f.startswith("part-")]
         assert rows in (500_500, 499_500) and all(f.endswith((".csv.gz", ".zstd.parquet")) for f in parts)
         assert sum(os.path.getsize(f"{path}/{f}") for f in parts) < most * rows
+
+
+def test_spline_without_its_matrix(spark, monkeypatch):
+    """The same surface as from the whole matrix, which isn't made; with points on one place that one is less exact."""
+    rng = np.random.default_rng(7)
+    spots = [(float(x), float(y), float(v)) for x, y, v in zip(*rng.uniform(0, 50, (2, 600)), rng.normal(size=600) * 100)]
+    at = spark.createDataFrame([(k, float(k % 20) * 2.6, float(k // 20) * 2.6) for k in range(400)], "cell long, x double, y double")
+    surface = lambda known: {r["cell"]: r["z"] for r in kernels.smooth_surface(spark.createDataFrame(known, "x double, y double, z double"), at).collect()}
+    twice = spots + [(x, y, v + 3) for x, y, v in spots[:5]]
+    want, want_twice = surface(spots), surface(twice)
+    monkeypatch.setattr(kernels, "DENSE", 100)
+    monkeypatch.setattr(np, "eye", None)  # of the whole matrix
+    got, got_twice = surface(spots), surface(twice)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 and abs(got_twice[k] - want_twice[k]) < 0.01 for k in want)
